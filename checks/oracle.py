@@ -359,7 +359,7 @@ def merged_dates(source: str) -> str:
 
 
 def repeats(side: str) -> str:
-    return (f"CASE WHEN {side}_episode IS NOT NULL THEN CAST(count(*) OVER (PARTITION BY person_id, {side}_episode) > 1 "
+    return (f"CASE WHEN {side}_episode IS NOT NULL THEN CAST(count(*) OVER (PARTITION BY m.person_id, {side}_episode) > 1 "
             f"AS INT) END AS {side}_dup")
 
 
@@ -401,7 +401,7 @@ cte("dup5", f"SELECT DISTINCT ON (person_id, hip_episode, episode_min_date, epis
 cte("deduped", f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY person_id
  ORDER BY merged_episode_start NULLS FIRST, merged_episode_end NULLS FIRST, hip_episode NULLS FIRST,
  pps_episode NULLS FIRST) AS INT) AS episode_num FROM ({merged_dates(f'''SELECT *, {repeats('hip')}, {repeats('pps')}
- FROM (SELECT * FROM dup5 UNION ALL SELECT {SIDES} FROM joined WHERE coalesce(hip_dup, 0) = 0 AND coalesce(pps_dup, 0) = 0)''')}))
+ FROM (SELECT * FROM dup5 UNION ALL SELECT {SIDES} FROM joined WHERE coalesce(hip_dup, 0) = 0 AND coalesce(pps_dup, 0) = 0) m''')}))
  WHERE merged_episode_start IS NOT NULL""")
 BORN_FIRST = "CAST(year_of_birth || '-' || month_of_birth || '-1' AS DATE)"
 cte("detail", f"""SELECT d.person_id, p.data_partner_id, p.year_of_birth, p.month_of_birth, p.race_concept_name,
@@ -460,16 +460,16 @@ cte("lists", """SELECT e.person_id, e.episode_number, CAST(max(CAST(gt_type = 'G
   GROUP BY ALL) r USING (person_id, episode_number) GROUP BY ALL""")
 cte("gr_counts", """SELECT j.*, (SELECT count(*) FROM gr m WHERE m.person_id = j.person_id
  AND m.episode_number = j.episode_number AND m.id <> j.id AND (m.s = j.s OR m.s = j.e OR m.e = j.s OR m.e = j.e
- OR (m.e > j.s AND m.e < j.e) OR (m.s > j.s AND m.s < j.e))) AS overlaps FROM gr j""")
-cte("gr_limits", """SELECT person_id, episode_number, abs(quantile_cont(overlaps, 0.25)
- - 1.5 * (quantile_cont(overlaps, 0.75) - quantile_cont(overlaps, 0.25))) AS overlap_threshold
+ OR (m.e > j.s AND m.e < j.e) OR (m.s > j.s AND m.s < j.e))) AS n_overlap FROM gr j""")
+cte("gr_limits", """SELECT person_id, episode_number, abs(quantile_cont(n_overlap, 0.25)
+ - 1.5 * (quantile_cont(n_overlap, 0.75) - quantile_cont(n_overlap, 0.25))) AS overlap_threshold
  FROM gr_counts GROUP BY ALL""")
-cte("gr_kept", """SELECT c.*, overlap_threshold, CASE WHEN overlap_threshold = 0 THEN overlaps <> 0
- ELSE overlaps >= overlap_threshold END AS kept FROM gr_counts c JOIN gr_limits USING (person_id, episode_number)""")
+cte("gr_kept", """SELECT c.*, overlap_threshold, CASE WHEN overlap_threshold = 0 THEN n_overlap <> 0
+ ELSE n_overlap >= overlap_threshold END AS kept FROM gr_counts c JOIN gr_limits USING (person_id, episode_number)""")
 cte("gr_basis", """SELECT person_id, episode_number, any_value(overlap_threshold) AS overlap_threshold,
  count(*) FILTER (kept) AS n_kept, coalesce(
- list(struct_pack(ss := s, se := e, cs := s, ce := e) ORDER BY overlaps DESC, s, e) FILTER (kept),
- list(struct_pack(ss := s, se := e, cs := s, ce := e) ORDER BY overlaps DESC, s, e)[1:1]) AS basis
+ list(struct_pack(ss := s, se := e, cs := s, ce := e) ORDER BY n_overlap DESC, s, e) FILTER (kept),
+ list(struct_pack(ss := s, se := e, cs := s, ce := e) ORDER BY n_overlap DESC, s, e)[1:1]) AS basis
  FROM gr_kept GROUP BY ALL""")
 cte("gr_core", """SELECT person_id, episode_number, overlap_threshold, n_kept, list_reduce(basis, lambda a, x: struct_pack(
  ss := least(a.ss, x.ss), se := greatest(a.se, x.se),
