@@ -1,6 +1,8 @@
 """Run every query on Spark and on DuckDB and compare the rows, order aside.
 
-    python -m checks.compare [sf_dir] [name part ...]
+    python -m checks.compare [--fresh] [sf_dir] [name part ...]
+
+All queries share one set of stages; with ``--fresh`` each starts from the tables.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections import Counter
 
 import duckdb
 
-from checks.queries import QUERIES
+from checks.queries import QUERIES, Steps
 from storkline.session import build_session
 
 
@@ -36,20 +38,21 @@ def open_oracle(sf_dir: str):
 
 
 def main() -> int:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    wanted = sys.argv[2:]
+    fresh = "--fresh" in sys.argv
+    rest = [a for a in sys.argv[1:] if a != "--fresh"]
+    sf_dir, wanted = (rest[0] if rest else "/root/testdata/sf0.01"), rest[1:]
     spark = build_session(
         "compare", **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                       "spark.driver.memory": "12g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
-    connection, bad = open_oracle(sf_dir), 0
+    connection, bad, shared = open_oracle(sf_dir), 0, Steps(spark, sf_dir)
     for name, query in QUERIES.items():
         if wanted and not any(w in name for w in wanted):
             continue
         try:
             begin = time.time()
-            df = query.run(spark, sf_dir)
+            df = query.run(spark, sf_dir) if fresh else query.frame(shared)
             ours = normal(df.columns, [tuple(r) for r in df.collect()])
             middle = time.time()
             columns, rows = oracle_rows(connection, query.sql())

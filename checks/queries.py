@@ -242,6 +242,9 @@ class Query:
         return [tuple((c + ":").split(":")[:2]) for c in self.columns.split()]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.frame(Steps(spark, sf_dir))
+
+    def frame(self, steps: Steps) -> DataFrame:
         def shown(name: str, tag: str) -> Column:
             c = F.col(name)
             if tag == "d":
@@ -252,7 +255,7 @@ class Query:
                 c = c.cast("int")
             return c.alias(name)
 
-        return self.build(Steps(spark, sf_dir)).select(*[shown(n, t) for n, t in self._columns()])
+        return self.build(steps).select(*[shown(n, t) for n, t in self._columns()])
 
     def sql(self) -> str:
         def shown(name: str, tag: str) -> str:

@@ -37,9 +37,9 @@ def women(person: DataFrame, p: Params) -> DataFrame:
 
 
 def with_women(df: DataFrame, person: DataFrame, p: Params) -> DataFrame:
-    """Keep rows of those women, with their traits. Reduce ``df`` per person first: the join
-    gathers each person's rows, and the per-person steps after it reuse that shuffle."""
-    return df.join(women(person, p), "person_id")
+    """Keep rows of those women, with their traits. Reduce ``df`` per person first: here each
+    person's rows are gathered, and the join and all per-person steps after it reuse that shuffle."""
+    return df.repartition("person_id").join(women(person, p), "person_id")
 
 
 def initial_cohort(event: DataFrame, codes: DataFrame, person: DataFrame, p: Params) -> DataFrame:

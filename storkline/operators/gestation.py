@@ -44,8 +44,10 @@ def gestation_episodes(days: DataFrame, p: Params) -> DataFrame:
     starts = F.col("week_diff").isNull() | falls | lags
     return (
         days.filter(F.col("gest_week").isNotNull())
-        .withColumn("week_diff", F.col("gest_week") - F.lag("gest_week").over(w))
-        .withColumn("date_diff", F.date_diff("visit_date", F.lag("visit_date").over(w)))
+        .withColumns({
+            "week_diff": F.col("gest_week") - F.lag("gest_week").over(w),
+            "date_diff": F.date_diff("visit_date", F.lag("visit_date").over(w)),
+        })
         .withColumn("episode", F.sum(starts.cast("int")).over(w))
     )
 
@@ -68,8 +70,10 @@ def gestation_bounds(episodes: DataFrame) -> DataFrame:
             F.max(week).alias("max_gest_week"),
             F.min(F.struct((-week).alias("w"), day)).alias("_high"),
         )
-        .withColumn("min_gest_date", F.col("_low.visit_date"))
-        .withColumn("min_gest_date_2", F.col("_low_last.visit_date"))
-        .withColumn("max_gest_date", F.col("_high.visit_date"))
+        .withColumns({
+            "min_gest_date": F.col("_low.visit_date"),
+            "min_gest_date_2": F.col("_low_last.visit_date"),
+            "max_gest_date": F.col("_high.visit_date"),
+        })
         .drop("_low", "_low_last", "_high")
     )

@@ -33,9 +33,10 @@ def next_episode(bounds: DataFrame) -> DataFrame:
 def search_windows(bounds: DataFrame, p: Params) -> DataFrame:
     """Where to look for each episode's outcome."""
     return (
-        next_episode(bounds)
-        .withColumn("lookback_date", F.date_sub("episode_max_date", p.lookback_days))
-        .withColumn("lookahead_date", F.least("next_closest_episode_date", "max_pregnancy_date"))
+        next_episode(bounds).withColumns({
+            "lookback_date": F.date_sub("episode_max_date", p.lookback_days),
+            "lookahead_date": F.least("next_closest_episode_date", "max_pregnancy_date"),
+        })
     )
 
 
@@ -92,9 +93,8 @@ def first_dates(candidates: DataFrame, p: Params) -> DataFrame:
 def pick_outcome(dates: DataFrame) -> DataFrame:
     """The first category in priority order that has a date."""
     dated = [F.col(f"{c}_date") for c in OUTCOME_PRIORITY]
-    return dates.withColumn(
-        "pps_category", F.coalesce(*[F.when(d.isNotNull(), c) for c, d in zip(OUTCOME_PRIORITY, dated, strict=True)])
-    ).withColumn("pps_outcome_date", F.coalesce(*dated))
+    names = [F.when(d.isNotNull(), c) for c, d in zip(OUTCOME_PRIORITY, dated, strict=True)]
+    return dates.withColumns({"pps_category": F.coalesce(*names), "pps_outcome_date": F.coalesce(*dated)})
 
 
 def add_outcomes(bounds: DataFrame, picked: DataFrame) -> DataFrame:
@@ -106,8 +106,10 @@ def add_outcomes(bounds: DataFrame, picked: DataFrame) -> DataFrame:
 
 def _merged_dates(df: DataFrame) -> DataFrame:
     return (
-        df.withColumn("merged_episode_start", F.least("first_gest_date", "episode_min_date", "pregnancy_end"))
-        .withColumn("merged_episode_end", F.greatest("episode_max_date", "pregnancy_end"))
+        df.withColumns({
+            "merged_episode_start": F.least("first_gest_date", "episode_min_date", "pregnancy_end"),
+            "merged_episode_end": F.greatest("episode_max_date", "pregnancy_end"),
+        })
         .withColumn("merged_episode_length", F.months_between("merged_episode_end", "merged_episode_start"))
     )
 
@@ -147,7 +149,7 @@ def _repeated(side: str) -> Column:
 
 
 def _mark_repeats(df: DataFrame) -> DataFrame:
-    return df.withColumn("hip_dup", _repeated("hip_episode")).withColumn("pps_dup", _repeated("pps_episode"))
+    return df.withColumns({"hip_dup": _repeated("hip_episode"), "pps_dup": _repeated("pps_episode")})
 
 
 HIP_SIDE = ["hip_episode", "pregnancy_end", "pregnancy_start", "first_gest_date", "category"]

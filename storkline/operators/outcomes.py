@@ -49,7 +49,7 @@ def spaced_visits(gaps: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
-def _limit_days(limits: DataFrame) -> Column:
+def limit_days(limits: DataFrame) -> Column:
     """All minimum gaps as one map, looked up as a scalar subquery: (first, outcome) -> days."""
     pairs = F.struct(F.concat_ws(">", "first_preg_category", "outcome_preg_category"), "min_days")
     return limits.agg(F.map_from_entries(F.collect_list(pairs)).alias("limits")).scalar()
@@ -60,15 +60,15 @@ def start_timeline(spaced: DataFrame) -> DataFrame:
     return spaced.withColumn("placed", F.col("outcome_group") == "LB")
 
 
-def admit(timeline: DataFrame, group: str, limits: DataFrame) -> DataFrame:
+def admit(timeline: DataFrame, group: str, days: Column) -> DataFrame:
     """Place the group's visits whose gaps to the placed neighbours are long enough.
 
     Neighbours are the visits next to a candidate among placed visits and all candidates of
     the group. A candidate between a placed visit and another candidate is left out.
+    ``days`` holds the minimum gaps, see ``limit_days``.
     """
     taking_part = F.col("placed") | (F.col("outcome_group") == group)
     w = Window.partitionBy("person_id", "_in").orderBy("visit_date", "outcome_group", "concept_id")
-    days = _limit_days(limits)
 
     # stillbirth shares the live-birth gap before a candidate; abortion shares the ectopic gap
     before = F.when(F.col("_prev").isin("LB", "SB"), "LB").otherwise("ECT")
@@ -84,10 +84,12 @@ def admit(timeline: DataFrame, group: str, limits: DataFrame) -> DataFrame:
 
     return (
         timeline.withColumn("_in", taking_part)
-        .withColumn("_prev", F.lag("outcome_group").over(w))
-        .withColumn("_prev_date", F.lag("visit_date").over(w))
-        .withColumn("_next", F.lead("outcome_group").over(w))
-        .withColumn("_next_date", F.lead("visit_date").over(w))
+        .withColumns({
+            "_prev": F.lag("outcome_group").over(w),
+            "_prev_date": F.lag("visit_date").over(w),
+            "_next": F.lead("outcome_group").over(w),
+            "_next_date": F.lead("visit_date").over(w),
+        })
         .withColumn(
             "placed",
             F.when(F.col("outcome_group") == group, F.coalesce(prev_ok & next_ok & ~one_sided, F.lit(False)))
@@ -99,9 +101,9 @@ def admit(timeline: DataFrame, group: str, limits: DataFrame) -> DataFrame:
 
 def admit_through(spaced: DataFrame, limits: DataFrame, last: str = "DELIV") -> DataFrame:
     """Admit the groups in order up to ``last``; one frame and one shuffle serve all of them."""
-    timeline = start_timeline(spaced)
+    timeline, days = start_timeline(spaced), limit_days(limits)
     for group in ADMISSION[: ADMISSION.index(last) + 1]:
-        timeline = admit(timeline, group, limits)
+        timeline = admit(timeline, group, days)
     return timeline.filter("placed").drop("placed", "gest_value", "value_as_number")
 
 
@@ -110,6 +112,8 @@ def start_bounds(outcomes: DataFrame, terms: DataFrame) -> DataFrame:
     rules = terms.select("category", *[F.col(c).cast("int").alias(c) for c in ("min_term", "max_term", "retry")])
     return (
         outcomes.join(rules, "category", "left")
-        .withColumn("min_start_date", F.date_sub("visit_date", F.col("min_term")))
-        .withColumn("max_start_date", F.date_sub("visit_date", F.col("max_term")))
+        .withColumns({
+            "min_start_date": F.date_sub("visit_date", F.col("min_term")),
+            "max_start_date": F.date_sub("visit_date", F.col("max_term")),
+        })
     )

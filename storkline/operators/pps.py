@@ -56,10 +56,13 @@ def timeline(records: DataFrame, months: DataFrame, person: DataFrame, p: Params
     w = by_person.orderBy(*RECORD_ORDER)
     return (
         records.join(month_lookup(months), "concept_id")
+        .repartition("person_id")
         .join(women(person, p).select("person_id"), "person_id", "left_semi")
-        .withColumn("position", F.row_number().over(w))
-        .withColumn("gap_days", F.date_diff("event_date", F.lag("event_date").over(w)))
-        .withColumn("records", F.count(F.lit(1)).over(by_person))
+        .withColumns({
+            "position": F.row_number().over(w),
+            "gap_days": F.date_diff("event_date", F.lag("event_date").over(w)),
+            "records": F.count(F.lit(1)).over(by_person),
+        })
     )
 
 

@@ -45,8 +45,10 @@ def attach_gestation(outcomes: DataFrame, gestation: DataFrame, p: Params) -> Da
     One full outer join: the spacing rules bound both sides per person. ``outcome_date``
     identifies the outcome, ``max_gest_date`` the run; each is null where that side is missing.
     """
-    g = gestation.withColumn("max_gest_start_date", F.date_sub("max_gest_date", F.col("max_gest_week") * 7))
-    g = g.withColumn("min_gest_start_date", F.date_sub("min_gest_date", F.col("min_gest_week") * 7))
+    g = gestation.withColumns({
+        "max_gest_start_date": F.date_sub("max_gest_date", F.col("max_gest_week") * 7),
+        "min_gest_start_date": F.date_sub("min_gest_date", F.col("min_gest_week") * 7),
+    })
     pairs = outcomes.alias("o").join(
         g.alias("g"), (F.col("o.person_id") == F.col("g.person_id")) & _overlaps(p), "full_outer"
     )
@@ -106,13 +108,13 @@ def clean_episodes(episodes: DataFrame, p: Params) -> DataFrame:
     both = F.col("max_gest_date").isNotNull() & F.col("outcome_date").isNotNull()
     over_max = ~F.coalesce(at_outcome <= F.col("max_term"), F.lit(False))
     before_run = F.col("days_diff") < -p.buffer_days
-    df = df.withColumn("removed_category", F.lit(None).cast("string")).withColumn("removed_outcome", F.lit(0))
+    df = df.withColumns({"removed_category": F.lit(None).cast("string"), "removed_outcome": F.lit(0)})
     df = _without_outcome(df, both & (over_max | before_run))
-    df = (
-        df.withColumn("gest_at_outcome", at_outcome)
-        .withColumn("min_gest_date_diff", F.date_diff("min_gest_date_2", "min_gest_date"))
-        .withColumn("date_diff_max_end", F.date_diff("max_gest_date", "end_gest_date"))
-    )
+    df = df.withColumns({
+        "gest_at_outcome": at_outcome,
+        "min_gest_date_diff": F.date_diff("min_gest_date_2", "min_gest_date"),
+        "date_diff_max_end": F.date_diff("max_gest_date", "end_gest_date"),
+    })
     return _numbered(df)
 
 
@@ -123,8 +125,7 @@ def remove_overlaps(episodes: DataFrame) -> DataFrame:
     start = F.coalesce("max_gest_start_date", "max_start_date")
     no_outcome = F.col("category") == NO_OUTCOME
     df = (
-        episodes.withColumn("prev_date", F.lag("visit_date").over(w))
-        .withColumn("prev_retry", F.lag("retry").over(w))
+        episodes.withColumns({"prev_date": F.lag("visit_date").over(w), "prev_retry": F.lag("retry").over(w)})
         .withColumn("has_overlap", flag(F.date_diff(start, "prev_date") < 0))
         .withColumn("_overlapped", no_outcome & (F.lead("has_overlap").over(w) == 1))
         .withColumn("_dropped", F.max("_overlapped").over(_per_person("max_gest_date")))
@@ -135,8 +136,10 @@ def remove_overlaps(episodes: DataFrame) -> DataFrame:
     df = (
         df.withColumn("estimated_start_date", F.when(moved, F.date_add("prev_date", F.col("prev_retry"))).otherwise(start))
         .withColumn("gest_at_outcome", F.date_diff("visit_date", "estimated_start_date"))
-        .withColumn("is_under_max", flag(F.col("gest_at_outcome") <= F.col("max_term")))
-        .withColumn("is_over_min", flag(F.col("gest_at_outcome") >= F.col("min_term")))
+        .withColumns({
+            "is_under_max": flag(F.col("gest_at_outcome") <= F.col("max_term")),
+            "is_over_min": flag(F.col("gest_at_outcome") >= F.col("min_term")),
+        })
     )
     df = _numbered(df)
     too_short = F.col("max_gest_week").isNotNull() & F.col("concept_name").isNotNull() & (F.col("is_over_min") == 0)
