@@ -42,6 +42,7 @@ SELECT p_partkey AS concept_id, p_name AS concept_name,
   WHEN 5 THEN 'DELIV' ELSE 'PREG' END AS category,
  CASE WHEN p_partkey % 32 IN (6, 7) THEN CAST(4 + (p_partkey * 7) % 42 AS INT) END AS gest_value
 FROM {part} WHERE p_partkey % 32 <= 8""",
+    "f_initial": "SELECT p_partkey AS concept_id, 'LB' AS category FROM {part} WHERE p_partkey % 32 = 0",
     "f_pps": """
 SELECT p_partkey AS domain_concept_id, p_name AS domain_concept_name,
  CAST(p_partkey % 8 AS DOUBLE) AS min_month, CAST(p_partkey % 8 + p_partkey % 3 AS DOUBLE) AS max_month
@@ -95,7 +96,7 @@ def load(spark: SparkSession, sf_dir: str) -> tuple[Tables, Lists]:
     )
     hip = view("f_hip")
     lists = Lists(
-        initial=hip.select("concept_id", "category"), outcomes=hip, months=view("f_pps"), limits=view("f_limits"),
+        initial=view("f_initial"), outcomes=hip, months=view("f_pps"), limits=view("f_limits"),
         terms=view("f_terms"), ages=view("f_ages"), timing=view("f_ages"), denied=view("f_denied"),
     )
     return tables, lists

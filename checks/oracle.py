@@ -21,7 +21,7 @@ def cte(name: str, text: str) -> None:
 
 
 # -- concept mapping ---------------------------------------------------------------------
-cte("lookup", "SELECT c.*, h.category FROM f_hip h JOIN f_concept c ON c.concept_id = h.concept_id")
+cte("lookup", "SELECT c.*, h.category FROM f_initial h JOIN f_concept c ON c.concept_id = h.concept_id")
 cte("nonstd", "SELECT * FROM lookup WHERE standard_concept IS NULL")
 cte("std", "SELECT * FROM lookup WHERE standard_concept = 'S'")
 cte("mapsto", """SELECT n.*, r.concept_id_1, r.concept_id_2, r.relationship_id FROM nonstd n
@@ -30,7 +30,7 @@ cte("mapped", "SELECT c.*, m.category FROM mapsto m JOIN f_concept c ON c.concep
 cte("standardized", "SELECT * FROM std UNION ALL SELECT * FROM mapped")
 
 # -- prevalence --------------------------------------------------------------------------
-cte("with_code", "SELECT DISTINCT person_id FROM f_event WHERE concept_id IN (SELECT concept_id FROM f_hip)")
+cte("with_code", "SELECT DISTINCT person_id FROM f_event WHERE concept_id IN (SELECT concept_id FROM f_initial)")
 BORN = """try_cast(year_of_birth || '-' || month_of_birth || '-' || coalesce(day_of_birth, 1) AS DATE)"""
 cte("cases", f"SELECT person_id, gender_concept_name, {BORN} AS date_of_birth FROM f_person "
     "WHERE person_id IN (SELECT person_id FROM with_code)")

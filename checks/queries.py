@@ -327,9 +327,13 @@ def _outcome_list(s: Steps) -> DataFrame:
     return merge.outcome_entries(s.candidates).withColumn("outcomes", F.array_join(entry, ";"))
 
 
+def _with_ranges(df: DataFrame) -> DataFrame:
+    return df.filter(F.size("ranges") > 0)
+
+
 def _kept_ranges(s: Steps) -> DataFrame:
     n = F.aggregate("kept", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
-    return s.outliers.filter(F.size("ranges") > 0).withColumn("n_kept", n)
+    return _with_ranges(s.outliers).withColumn("n_kept", n)
 
 
 def _kept_weeks(s: Steps) -> DataFrame:
@@ -339,10 +343,6 @@ def _kept_weeks(s: Steps) -> DataFrame:
     )
 
 
-def _cores(s: Steps) -> DataFrame:
-    return s.intersected.filter(F.col("core_start").isNotNull())
-
-
 def _validated(s: Steps) -> DataFrame:
     known = F.coalesce("extrapolated_preg_start", "min_pregnancy_start", "max_pregnancy_start").isNotNull()
     return s.evidence_rows.filter(known)
@@ -479,10 +479,10 @@ QUERIES: dict[str, Query] = {
         "coalesce(extrapolated_preg_start, min_pregnancy_start, max_pregnancy_start) IS NOT NULL"),
     "esd_range_outliers": Query(_kept_ranges, "gr_core", f"{EPISODE} overlap_threshold:f n_kept"),
     "esd_range_intersection": Query(
-        lambda s: _cores(s).withColumnRenamed("core_start", "raw_start").withColumnRenamed("core_end", "raw_end"),
+        lambda s: _with_ranges(s.intersected).withColumnsRenamed({"core_start": "raw_start", "core_end": "raw_end"}),
         "cores", f"{EPISODE} span_start:d span_end:d raw_start:d raw_end:d"),
     "esd_interval_widen": Query(
-        lambda s: s.widened.filter(F.col("core_start").isNotNull()), "cores",
+        lambda s: _with_ranges(s.widened), "cores",
         f"{EPISODE} core_midpoint:d range_days core_start:d core_end:d"),
     "esd_week_outliers": Query(_kept_weeks, "gw_all_list", f"{EPISODE} good"),
     "esd_start_choice": Query(

@@ -118,10 +118,11 @@ class Pipeline:
 
     @cached_property
     def timing_info(self) -> DataFrame:
-        """Inferred start of each merged episode that has timing evidence."""
-        return start_dates.timing_info(
+        """Inferred start of each merged episode that has timing evidence. Written out, so that
+        filters on its columns are not pushed into, and repeated within, the array expressions."""
+        return cut(start_dates.timing_info(
             self.evidence, self.merged_episodes, self.lists.timing, self.lists.ages, self.lists.months, self.p
-        )
+        ))
 
     @cached_property
     def episodes(self) -> DataFrame:
