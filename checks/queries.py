@@ -42,10 +42,13 @@ class Steps(Pipeline):
     def with_code(self):
         return prevalence.persons_with_code(self.tables.event, self.lists.initial, self.p)
 
+    @cached_property
+    def per_person(self):
+        return prevalence.person_concepts(self.tables.event)
+
     @cached_property
     def case_events(self):
-        per_person = prevalence.person_concepts(self.tables.event)
-        return prevalence.concept_ages(per_person, prevalence.cases(self.tables.person, self.with_code))
+        return prevalence.concept_ages(self.per_person, prevalence.cases(self.tables.person, self.with_code))
 
     @cached_property
     def case_women(self):
@@ -53,8 +56,7 @@ class Steps(Pipeline):
 
     @cached_property
     def control_events(self):
-        per_person = prevalence.person_concepts(self.tables.event)
-        return prevalence.concept_ages(per_person, prevalence.controls(self.tables.person, self.with_code))
+        return prevalence.concept_ages(self.per_person, prevalence.controls(self.tables.person, self.with_code))
 
     @cached_property
     def prevalence(self):
@@ -63,7 +65,7 @@ class Steps(Pipeline):
     @cached_property
     def specificity(self):
         frequent = prevalence.frequent(self.prevalence, self.p)
-        return prevalence.specificity(frequent, prevalence.control_prevalence(self.control_events), self.control_events)
+        return prevalence.specificity(frequent, prevalence.control_prevalence(self.control_events))
 
     # outcomes
     @cached_property

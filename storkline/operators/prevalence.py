@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storkline.config import Params
-from storkline.functions.rows import birth_date, first_row
+from storkline.functions.rows import birth_date
+from storkline.session import cut
 
 
-def match_key(p: Params):
+def match_key(p: Params) -> Column:
     """The id a row is matched on: the concept, or for drugs by choice the record."""
     if p.drug_by_record_id:
         return F.when(F.col("domain") == "drug", F.col("record_id")).otherwise(F.col("concept_id"))
@@ -39,12 +40,13 @@ def controls(person: DataFrame, with_code: DataFrame) -> DataFrame:
 
 
 def person_concepts(event: DataFrame) -> DataFrame:
-    """The earliest record of each person and concept, over all domains."""
-    return first_row(
-        event.select("person_id", "concept_id", "concept_name", F.col("event_date").alias("visit_date"), "domain",
-                     "record_id"),
-        ["person_id", "concept_id"], ["visit_date", "domain", "record_id"],
-    ).drop("record_id")
+    """The earliest record of each person and concept, over all domains; reduced before the shuffle."""
+    record = F.struct(F.col("event_date").alias("visit_date"), "domain", "record_id", "concept_name")
+    return (
+        event.groupBy("person_id", "concept_id")
+        .agg(F.min(record).alias("r"))
+        .select("person_id", "concept_id", "r.concept_name", "r.visit_date", "r.domain")
+    )
 
 
 def concept_ages(concepts: DataFrame, persons: DataFrame) -> DataFrame:
@@ -62,18 +64,33 @@ def reproductive_age(aged: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def _persons_total(rows: DataFrame):
-    return rows.agg(F.count_distinct("person_id").alias("persons")).scalar()
+def concept_counts(rows: DataFrame, name: str) -> DataFrame:
+    """Per concept its persons, and in ``new_persons`` those of them whose first row it is, so
+    that ``new_persons`` adds up to all persons. Rows are one per person and concept.
+
+    One pass over the rows; the result has a row per concept and is written out, as both the
+    counts and the total read it. The rows come sorted by person from the join before, which
+    the running number reuses.
+    """
+    first = F.row_number().over(Window.partitionBy("person_id").orderBy("person_id")) == 1
+    return cut(
+        rows.withColumn("_first", first.cast("int"))
+        .groupBy("concept_id", "concept_name")
+        .agg(F.count("person_id").alias(name), F.sum("_first").alias("new_persons"))
+    )
+
+
+def _persons_total(counts: DataFrame) -> Column:
+    return counts.agg(F.sum("new_persons").alias("persons")).scalar()
 
 
 def case_prevalence(rows: DataFrame) -> DataFrame:
-    """Per concept the distinct persons and their share of all. Rows are one per person and
-    concept, so the persons of a concept name are its rows."""
+    """Per concept the distinct persons and their share of all."""
+    counts = concept_counts(rows, "count")
     return (
-        rows.filter((F.col("concept_id") != 0) & F.col("concept_name").isNotNull())
-        .groupBy("concept_id", "concept_name")
-        .agg(F.count("person_id").alias("count"))
-        .withColumn("proportion", F.try_divide(F.col("count"), _persons_total(rows)))
+        counts.filter((F.col("concept_id") != 0) & F.col("concept_name").isNotNull())
+        .withColumn("proportion", F.try_divide(F.col("count"), _persons_total(counts)))
+        .drop("new_persons")
     )
 
 
@@ -82,14 +99,14 @@ def frequent(prevalence: DataFrame, p: Params) -> DataFrame:
 
 
 def control_prevalence(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("concept_id", "concept_name").agg(F.count("person_id").alias("count_controls"))
+    return concept_counts(rows, "count_controls")
 
 
-def specificity(frequent_cases: DataFrame, control_counts: DataFrame, control_rows: DataFrame) -> DataFrame:
+def specificity(frequent_cases: DataFrame, control_counts: DataFrame) -> DataFrame:
     """Share among cases over share among controls; a concept no control has counts as one."""
-    share = F.try_divide(F.col("count_controls"), _persons_total(control_rows))
+    share = F.try_divide(F.col("count_controls"), _persons_total(control_counts))
     return (
-        frequent_cases.join(control_counts.drop("concept_name"), "concept_id", "left")
+        frequent_cases.join(control_counts.drop("concept_name", "new_persons"), "concept_id", "left")
         .withColumn("count_controls", F.coalesce("count_controls", F.lit(1).cast("bigint")))
         .withColumn("proportion_controls", share)
         .withColumn("ratio", F.try_divide(F.col("proportion"), F.col("proportion_controls")))

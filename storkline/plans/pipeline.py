@@ -38,12 +38,12 @@ class Pipeline:
         p, event, person = self.p, self.tables.event, self.tables.person
         with_code = cut(prevalence.persons_with_code(event, self.lists.initial, p))
         per_person = cut(prevalence.person_concepts(event))
-        case_rows = cut(prevalence.reproductive_age(
+        case_rows = prevalence.reproductive_age(
             prevalence.concept_ages(per_person, prevalence.cases(person, with_code)), p
-        ))
-        control_rows = cut(prevalence.concept_ages(per_person, prevalence.controls(person, with_code)))
+        )
+        control_rows = prevalence.concept_ages(per_person, prevalence.controls(person, with_code))
         common = prevalence.frequent(prevalence.case_prevalence(case_rows), p)
-        ratios = prevalence.specificity(common, prevalence.control_prevalence(control_rows), control_rows)
+        ratios = prevalence.specificity(common, prevalence.control_prevalence(control_rows))
         return prevalence.highly_specific(ratios, p)
 
     # -- episodes ------------------------------------------------------------------------
