@@ -14,6 +14,11 @@ from storkline import Lists, Params, Tables
 
 BASE = ("customer", "part", "orders", "lineitem")
 
+_GROUPS = ("LB", "SB", "ECT", "AB", "DELIV")
+_LIMITS = ", ".join(
+    f"('{a}', '{b}', {168 if b in ('LB', 'SB', 'DELIV') else 56})" for a in _GROUPS for b in _GROUPS
+)
+
 VIEWS = {
     "f_person": """
 SELECT c_custkey AS person_id,
@@ -67,11 +72,7 @@ FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 SELECT o_custkey AS person_id, 1 + o_orderkey % 200 AS visit_concept_id, o_orderpriority AS visit_concept_name,
  CAST(o_orderdate AS DATE) AS visit_start_date
 FROM {orders}""",
-    "f_limits": """
-SELECT a.c AS first_preg_category, b.c AS outcome_preg_category,
- CASE WHEN b.c IN ('LB', 'SB', 'DELIV') THEN 168 ELSE 56 END AS min_days
-FROM (VALUES ('LB'), ('SB'), ('ECT'), ('AB'), ('DELIV')) AS a(c)
- CROSS JOIN (VALUES ('LB'), ('SB'), ('ECT'), ('AB'), ('DELIV')) AS b(c)""",
+    "f_limits": f"SELECT * FROM (VALUES {_LIMITS}) AS t(first_preg_category, outcome_preg_category, min_days)",
     "f_terms": """
 SELECT * FROM (VALUES ('LB', 161, 301, 28), ('SB', 140, 301, 28), ('DELIV', 140, 301, 28), ('ECT', 42, 84, 14),
  ('AB', 42, 168, 14), ('SA', 28, 139, 14), ('PREG', 0, 301, 14)) AS t(category, min_term, max_term, retry)""",

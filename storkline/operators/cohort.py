@@ -32,6 +32,7 @@ def women(person: DataFrame, p: Params) -> DataFrame:
         person.filter(F.col("gender_concept_name") == "FEMALE")
         .filter(F.col("year_of_birth").between(p.birth_year_min, p.birth_year_max))
         .select("person_id", *TRAITS)
+        .repartition("person_id")  # one shuffle for both the distinct and the join by person
         .distinct()
     )
 

@@ -46,21 +46,18 @@ def outcome_candidates(event: DataFrame, codes: DataFrame, windows: DataFrame) -
     outcomes = outcome_concepts(codes).select("concept_id", "category").distinct()
     records = (
         event.filter(F.col("domain") != "drug")
-        .join(outcomes.select("concept_id").distinct(), "concept_id", "left_semi")
-        .groupBy("person_id", "event_date", "concept_id", "concept_name")
+        .select("person_id", "event_date", "concept_id", "concept_name")
+        .join(outcomes, "concept_id")
+        .groupBy("person_id", "event_date", "concept_id", "concept_name", "category")
         .agg(F.count(F.lit(1)).alias("n_records"))
     )
     spans = windows.select(*EPISODE, *WINDOW).withColumnRenamed("person_id", "_person")
-    return (
-        records.join(
-            spans,
-            (F.col("person_id") == F.col("_person"))
-            & (F.col("event_date") >= F.col("lookback_date"))
-            & (F.col("event_date") <= F.col("lookahead_date")),
-        )
-        .drop("_person")
-        .join(outcomes, "concept_id", "left")
-    )
+    return records.join(
+        spans,
+        (F.col("person_id") == F.col("_person"))
+        & (F.col("event_date") >= F.col("lookback_date"))
+        & (F.col("event_date") <= F.col("lookahead_date")),
+    ).drop("_person")
 
 
 def outcome_entries(candidates: DataFrame) -> DataFrame:

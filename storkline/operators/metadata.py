@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storkline.config import NO_OUTCOME, Params
 from storkline.functions.labels import ethnicity_group, precision_label, race_ethnicity, race_group
 from storkline.functions.rows import birth_date, flag
+from storkline.operators.outcomes import term_rules
 
 
 def with_timing(detail: DataFrame, info: DataFrame) -> DataFrame:
@@ -57,11 +58,8 @@ def episode_end(df: DataFrame, p: Params) -> DataFrame:
 
 def fill_start(df: DataFrame, terms: DataFrame) -> DataFrame:
     """Where no evidence gives a start, count the longest term back from the end."""
-    rules = terms.select(
-        F.col("category").alias("final_outcome_category"),
-        F.col("min_term").cast("int").alias("min_term"), F.col("max_term").cast("int").alias("max_term"),
-    )
-    df = df.join(rules, "final_outcome_category", "left")
+    rules = term_rules(terms).withColumnRenamed("category", "final_outcome_category").drop("retry")
+    df = df.join(F.broadcast(rules), "final_outcome_category", "left")
     days = F.coalesce(F.col("precision_days"), F.col("max_term") - F.col("min_term"))
     return (
         df.withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storkline.config import NO_OUTCOME, OUTCOMES
 from storkline.functions.rows import first_row
 
 # Outcome group -> categories read as that group, in order of admission to the timeline.
@@ -37,22 +38,18 @@ def visit_gaps(visits: DataFrame) -> DataFrame:
     return visits.withColumn("days", F.date_diff("visit_date", F.lag("visit_date").over(w)))
 
 
-def spaced_visits(gaps: DataFrame, limits: DataFrame) -> DataFrame:
-    """First visit of each group, and visits at least the minimum days after the visit before."""
-    own = limits.filter(F.col("first_preg_category") == F.col("outcome_preg_category")).select(
-        F.col("first_preg_category").alias("outcome_group"), "min_days"
-    )
-    return (
-        gaps.join(own, "outcome_group")
-        .filter(F.col("days").isNull() | (F.col("days") >= F.col("min_days")))
-        .drop("days", "min_days")
-    )
-
-
 def limit_days(limits: DataFrame) -> Column:
-    """All minimum gaps as one map, looked up as a scalar subquery: (first, outcome) -> days."""
+    """Minimum gaps as a map (first>outcome -> days), read once as a scalar subquery. The five
+    groups bound it to 25 entries."""
+    known = limits.filter(F.col("first_preg_category").isin(*GROUPS) & F.col("outcome_preg_category").isin(*GROUPS))
     pairs = F.struct(F.concat_ws(">", "first_preg_category", "outcome_preg_category"), "min_days")
-    return limits.agg(F.map_from_entries(F.collect_list(pairs)).alias("limits")).scalar()
+    return known.agg(F.map_from_entries(F.collect_list(pairs)).alias("limits")).scalar()
+
+
+def spaced_visits(gaps: DataFrame, limits: DataFrame) -> DataFrame:
+    """First visit of each group, and visits at least the minimum days after the visit before."""
+    own = F.try_element_at(limit_days(limits), F.concat_ws(">", "outcome_group", "outcome_group"))
+    return gaps.filter(F.col("days").isNull() | (F.col("days") >= own)).drop("days")
 
 
 def start_timeline(spaced: DataFrame) -> DataFrame:
@@ -107,13 +104,16 @@ def admit_through(spaced: DataFrame, limits: DataFrame, last: str = "DELIV") ->
     return timeline.filter("placed").drop("placed", "gest_value", "value_as_number")
 
 
+def term_rules(terms: DataFrame) -> DataFrame:
+    """Term durations of the known categories: at most one row each, so always fit to broadcast."""
+    days = [F.col(c).cast("int").alias(c) for c in ("min_term", "max_term", "retry")]
+    known = terms.filter(F.col("category").isin(*OUTCOMES, NO_OUTCOME))
+    return F.broadcast(known.select("category", *days).dropDuplicates(["category"]))
+
+
 def start_bounds(outcomes: DataFrame, terms: DataFrame) -> DataFrame:
     """Earliest and latest start of each outcome from the term durations of its category."""
-    rules = terms.select("category", *[F.col(c).cast("int").alias(c) for c in ("min_term", "max_term", "retry")])
-    return (
-        outcomes.join(rules, "category", "left")
-        .withColumns({
-            "min_start_date": F.date_sub("visit_date", F.col("min_term")),
-            "max_start_date": F.date_sub("visit_date", F.col("max_term")),
-        })
-    )
+    return outcomes.join(term_rules(terms), "category", "left").withColumns({
+        "min_start_date": F.date_sub("visit_date", F.col("min_term")),
+        "max_start_date": F.date_sub("visit_date", F.col("max_term")),
+    })
