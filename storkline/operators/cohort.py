@@ -32,7 +32,6 @@ def women(person: DataFrame, p: Params) -> DataFrame:
         person.filter(F.col("gender_concept_name") == "FEMALE")
         .filter(F.col("year_of_birth").between(p.birth_year_min, p.birth_year_max))
         .select("person_id", *TRAITS)
-        .repartition("person_id")  # one shuffle for both the distinct and the join by person
         .distinct()
     )
 
@@ -44,5 +43,6 @@ def with_women(df: DataFrame, person: DataFrame, p: Params) -> DataFrame:
 
 
 def initial_cohort(event: DataFrame, codes: DataFrame, person: DataFrame, p: Params) -> DataFrame:
-    """Distinct coded events of the cohort."""
-    return with_women(coded_events(event, codes, p).distinct(), person, p)
+    """Distinct coded events of the cohort. Values do not bound a person's rows here, so the join
+    is left to Spark's skew handling."""
+    return coded_events(event, codes, p).distinct().join(women(person, p), "person_id")
