@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,23 +24,48 @@ def build_session(app: str = "storkline", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def _stage_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one is made here only where none is configured, as in a
-    bare local session."""
+    """The shared folder for stages: `spark.checkpoint.dir`, or the context's checkpoint folder.
+
+    Only a local session, where driver and executors are one process, may go without; its stages
+    go below the warehouse folder.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="storkline-"))
-        folder = context.getCheckpointDir()
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"
     return folder.rstrip("/")
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what lies there goes when the driver ends."""
+    path = f"{_stage_folder(spark)}/storkline/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a stage as a Parquet table to the shared checkpoint folder and go on from there.
 
     Readers of the stage get column pruning, pushed filters and a known size, and a lost
     executor costs a re-read, not a recomputation.
     """
-    path = f"{_stage_folder(df.sparkSession)}/storkline/{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def remove_stages() -> None:
+    """Remove the stages written so far; frames that read them are void from then on."""
+    while _written:
+        spark, path = _written.pop()
+        context = spark.sparkContext
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
