@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storkline.llm import perplexity, rule_ensemble
 from storkline.llm.near_dups import near_duplicates
 
 
@@ -17,8 +18,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rule_ensemble.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.rate(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_minhash_near_dedup,)
+    f.__name__: f for f in (op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
