@@ -6,9 +6,11 @@
    least `overlap_bound` retained values, so a class enters only the lists of its rarest retained
    values, as many as still make a common list certain. A frequent passage thus opens a list only
    for classes that consist mostly of such passages.
-3. In each list all members are compared with one pivot, then those not linked to the main component
-   with a second pivot, then what is still apart with every member of another component. The work
-   is linear for groups of copies, however large, and no link between components is left out.
+3. In each list all members are compared with one pivot, the member of the most frequent values,
+   then those still outside the list's largest component with a second pivot. That is linear for
+   groups of copies, however large. Classes that lists leave in different components are compared by
+   inverted lists of their full sets, which hold few of them: a copy with many changes has enough
+   values of its own to enter none. No link between components is left out.
 4. A pair is dropped if the sketch of its union, made from both sketches, shows too small an overlap;
    every other pair is settled by the exact similarity of the full sets.
 
@@ -22,7 +24,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from storkline.llm import text
 from storkline.llm.components import components
@@ -71,17 +73,29 @@ def _full_sets(width: int):
     return run
 
 
-def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """`value`, `rep`: the inverted lists. Values kept by one class alone come first in the order by
-    rarity and open no list."""
-    kept = classes.select("rep", "n_shingles", F.explode("sketch").alias("value"))
+def _lists(sets: DataFrame, must: Column) -> DataFrame:
+    """Inverted lists `value`, `rep`, `weight` from the sets `rep`, `size`, `members`: two sets with
+    `must` members in common meet in a list, as each enters those of its rarest members, as many as
+    `must` cannot do without. Members of one set alone come first in that order and open no list.
+    `weight` is larger for a set of frequent members."""
+    kept = sets.select("rep", "size", F.explode("members").alias("value"))
     often = kept.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = kept.join(often, "value").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    size = F.least("n_shingles", F.lit(k))
-    must = F.least(F.lit(overlap_bound(k, percent)), F.ceil(F.col("n_shingles") * percent / 100))
-    places = size - must + 1 - (size - F.size("shared"))
-    rows = shared.select("rep", F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("x"))
-    return rows.select(F.col("x.value").alias("value"), "rep")
+    shared = kept.join(often, "value").groupBy("rep", "size").agg(
+        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"), F.sum("df").alias("weight")
+    )
+    places = F.size("shared") - must + 1
+    rows = shared.select("rep", "weight", F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("x"))
+    return rows.select(F.col("x.value").alias("value"), "rep", "weight")
+
+
+def _apart(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of lists that more than one component of the links found meets in, each with its
+    component `part` and the list's largest one, `main`."""
+    label = components(found).withColumnRenamed("id", "rep")
+    own = lists.join(label, "rep", "left").select("value", "rep", "weight", F.coalesce("label", "rep").alias("part"))
+    parts = own.groupBy("value", "part").agg(F.count("*").alias("n"))
+    main = parts.groupBy("value").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("n")).filter("n > 1")
+    return cut(own.join(main.select("value", F.col("most.part").alias("main")), "value"))
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -108,41 +122,38 @@ def _similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, perc
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int = SKETCH) -> DataFrame:
     """Links (`a`, `b`) between classes that give the same components as all pairs of the similarity."""
-    lists = _lists(classes, k, percent)
-    sizes = lists.groupBy("value").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
-    lists = cut(lists.join(sizes, "value").select("value", "rep", "pivot"))
+    bound = F.lit(overlap_bound(k, percent))
+    sketches = classes.select("rep", F.least("n_shingles", F.lit(k)).alias("size"), F.col("sketch").alias("members"))
+    lists = _lists(sketches, F.least(bound, F.ceil(F.col("size") * percent / 100)))
+    pivot = F.max(F.struct("weight", (-F.col("rep")).alias("back")))
+    pivots = lists.groupBy("value").agg(F.count("*").alias("n"), pivot.alias("p")).filter("n > 1")
+    lists = cut(lists.join(pivots, "value").select("value", "rep", "weight", (-F.col("p.back")).alias("pivot")))
     members = lists.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(docs.select("doc_id", "text").join(members.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_full_sets(width), _SETS))
-    sets = sets.dropDuplicates(["doc_id"])
-
-    tried = cut(lists.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    found = cut(_similar(tried, classes, sets, k, percent))
-
-    def apart() -> DataFrame:
-        """Members of lists that more than one component meets in, each with its component and the
-        list's main one."""
-        label = components(found).withColumnRenamed("id", "rep")
-        own = lists.join(label, "rep", "left").select("value", "rep", F.coalesce("label", "rep").alias("part"))
-        parts = own.groupBy("value", "part").agg(F.count("*").alias("n"))
-        main = parts.groupBy("value").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("n")).filter("n > 1")
-        return cut(own.join(main.select("value", F.col("most.part").alias("main")), "value"))
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return cut(ends.join(tried, ["a", "b"], "left_anti"))
-
-    mixed = apart()
-    pivots = mixed.filter("part <> main").groupBy("value").agg(F.min(F.struct("rep", "part")).alias("p"))
-    pairs = mixed.join(pivots, "value").filter("part <> p.part").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
-    again = fresh(pairs)
-    tried, found = tried.union(again), cut(found.union(_similar(again, classes, sets, k, percent)))
-
-    mixed = apart().join(classes.select("rep", "sketch"), "rep")
-    one = mixed.filter("part <> main").select("value", F.col("rep").alias("a"), F.col("part").alias("part_a"), F.col("sketch").alias("s_a"))
-    other = mixed.select("value", F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("sketch").alias("s_b"))
-    enough = F.size(F.array_intersect("s_a", "s_b")) >= F.least(F.lit(overlap_bound(k, percent)), F.ceil(F.size("s_a") * percent / 100))
-    rest = fresh(one.join(other, "value").filter("part_a <> part_b").filter(enough))
-    return found.union(_similar(rest, classes, sets, k, percent))
+    sets = docs.select("doc_id", "text").join(members.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_full_sets(width), _SETS)
+    sets = cut(sets).dropDuplicates(["doc_id"])
+
+    tried, found = None, None
+
+    def settle(pairs: DataFrame) -> None:
+        """Compare pairs that were not compared before."""
+        nonlocal tried, found
+        ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+        new = cut(ends.join(tried, ["a", "b"], "left_anti") if tried else ends)
+        similar = _similar(new, classes, sets, k, percent)
+        tried, found = tried.union(new) if tried else new, cut(found.union(similar) if found else similar)
+
+    settle(lists.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    mixed = _apart(lists.drop("pivot"), found)
+    second = mixed.filter("part <> main").groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"), "part")).alias("p"))
+    settle(mixed.join(second, "value").filter("part <> p.part").select((-F.col("p.back")).alias("a"), F.col("rep").alias("b")))
+
+    left = _apart(lists.drop("pivot"), found).select(F.col("rep").alias("doc_id")).distinct()
+    whole = sets.join(left, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size"), F.col("shingles").alias("members"))
+    mixed = _apart(cut(_lists(whole, F.ceil(F.col("size") * percent / 100))), found)
+    one = mixed.filter("part <> main").select("value", F.col("rep").alias("a"), F.col("part").alias("part_a"))
+    other = mixed.select("value", F.col("rep").alias("b"), F.col("part").alias("part_b"))
+    settle(one.join(other, "value").filter("part_a <> part_b").select("a", "b"))
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:

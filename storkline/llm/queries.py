@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storkline.llm import perplexity, rule_ensemble
+from storkline.llm import perplexity, personal_data, rule_ensemble
 from storkline.llm.decontaminate import find_leaks
 from storkline.llm.near_dups import near_duplicates
 
@@ -20,6 +20,10 @@ def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -34,7 +38,7 @@ def op10_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_decontamination, op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules)
+    f.__name__: f for f in (op2_simhash_decontamination, op5_bilstm_crf_pii, op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
