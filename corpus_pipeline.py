@@ -4,17 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storkline.llm.decontaminate import drop_leaks
 from storkline.llm.near_dups import drop_near_duplicates
+from storkline.llm.personal_data import mask
+from storkline.llm.pieces import encode, read_pieces
+from storkline.llm.queries import VOCABULARY
+from storkline.llm.rule_ensemble import keep_good
 from storkline.session import cut
 
 
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
     return drop_near_duplicates(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind."""
+    return mask(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their texts."""
+    return encode(docs, read_pieces(VOCABULARY))
+
+
 STAGES = [
+    ("rule_ensemble_quality", select_quality),
     ("minhash_near_dedup", deduplicate),
+    ("simhash_decontamination", decontaminate),
+    ("bilstm_crf_pii", mask_personal_data),
+    ("sentencepiece_shared_prefix", tokenize),
 ]
 
 #: the stages are models and searches, which SQL cannot express

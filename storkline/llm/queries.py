@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storkline.llm import perplexity, personal_data, rule_ensemble
+from storkline.llm import perplexity, personal_data, pieces, rule_ensemble
 from storkline.llm.decontaminate import find_leaks
 from storkline.llm.near_dups import near_duplicates
 
+#: SentencePiece model file; read by the driver, its content goes to the tasks
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +27,17 @@ def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_shared_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, and whether decoding them gives the text back."""
+    vocabulary = pieces.read_pieces(VOCABULARY)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    return both.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+    )
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -38,7 +52,10 @@ def op10_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_decontamination, op5_bilstm_crf_pii, op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules)
+    f.__name__: f for f in (
+        op2_simhash_decontamination, op5_bilstm_crf_pii, op6_sentencepiece_shared_prefix,
+        op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
