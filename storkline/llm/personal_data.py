@@ -4,7 +4,7 @@ The tagger (`char_tagger`) learns from windows around digits and `@` of a bounde
 labelled with the spans of the patterns, and from rewritten copies of these spans that the patterns
 miss. Every kind holds digits or an `@`, so a text is read within REACH characters of those; all such
 stretches of every text are tagged. A tagged span is added if it has what its kind needs and overlaps
-neither a span of the patterns nor a match that failed their checks.
+neither a span of the patterns nor a match of its own kind that failed their check.
 """
 
 from __future__ import annotations
@@ -174,8 +174,11 @@ def find(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[list[Span
         found = [s for s in _spans(tags, a) if _has_parts(texts[i][s[0]:s[1]], s[2])]
         if found:
             good, failed = base[i]
-            taken = [s for s in (*good, *failed) if s[1] > a]
-            added[i] += [s for s in found if not any(s[0] < y and x < s[1] for x, y, _ in taken)]
+            near = [(x, y) for x, y, _ in good if y > a], [(x, y, k) for x, y, k in failed if y > a]
+            added[i] += [
+                s for s in found
+                if not any(s[0] < y and x < s[1] for x, y in near[0]) and not any(s[0] < y and x < s[1] and k == s[2] for x, y, k in near[1])
+            ]
     return [(good, extra) for (good, _), extra in zip(base, added, strict=True)]
 
 
