@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storkline.llm import perplexity, personal_data, pieces, rule_ensemble
+from storkline.llm import kd_shards, perplexity, personal_data, pieces, rule_ensemble, warc
 from storkline.llm.decontaminate import find_leaks
 from storkline.llm.near_dups import near_duplicates
+from storkline.session import stage_path
 
 #: SentencePiece model file; read by the driver, its content goes to the tasks
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -23,6 +24,10 @@ def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shards(_table(spark, sf_dir, "documents"), 16)
+
+
 def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,13 @@ def op6_sentencepiece_shared_prefix(spark: SparkSession, sf_dir: str) -> DataFra
     )
 
 
+def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written to an archive and read back."""
+    path = stage_path(spark)
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.report(warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -53,9 +65,19 @@ def op10_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_simhash_decontamination, op5_bilstm_crf_pii, op6_sentencepiece_shared_prefix,
-        op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules,
+        op2_simhash_decontamination, op3_kd_tree_shards, op5_bilstm_crf_pii, op6_sentencepiece_shared_prefix,
+        op7_content_addressed_warc, op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_content_addressed_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        h AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+                     max(page_id) OVER (PARTITION BY payload) AS holder FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN holder END AS refers_to
+        FROM h
+    """,
+}
