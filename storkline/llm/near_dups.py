@@ -74,25 +74,26 @@ def _full_sets(width: int):
 
 
 def _lists(sets: DataFrame, must: Column) -> DataFrame:
-    """Inverted lists `value`, `rep`, `weight` from the sets `rep`, `size`, `members`: two sets with
-    `must` members in common meet in a list, as each enters those of its rarest members, as many as
-    `must` cannot do without. Members of one set alone come first in that order and open no list.
-    `weight` is larger for a set of frequent members."""
+    """Inverted lists `value`, `rep`, `weight`, `behind` from the sets `rep`, `size`, `members`: two
+    sets with `must` members in common meet in a list, as each enters those of its rarest members, as
+    many as `must` cannot do without. Members of one set alone come first in that order and open no
+    list. `weight` is larger for a set of frequent members; `behind` counts the set's members from
+    this one on in the order by rarity."""
     kept = sets.select("rep", "size", F.explode("members").alias("value"))
     often = kept.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     shared = kept.join(often, "value").groupBy("rep", "size").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"), F.sum("df").alias("weight")
     )
-    places = F.size("shared") - must + 1
-    rows = shared.select("rep", "weight", F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("x"))
-    return rows.select(F.col("x.value").alias("value"), "rep", "weight")
+    places = F.slice("shared", F.lit(1), F.greatest(F.size("shared") - must + 1, F.lit(0)).cast("int"))
+    rows = shared.select("rep", "weight", F.size("shared").alias("n"), F.posexplode(places).alias("i", "x"))
+    return rows.select(F.col("x.value").alias("value"), "rep", "weight", (F.col("n") - F.col("i")).alias("behind"))
 
 
 def _apart(lists: DataFrame, found: DataFrame) -> DataFrame:
     """Members of lists that more than one component of the links found meets in, each with its
     component `part` and the list's largest one, `main`."""
     label = components(found).withColumnRenamed("id", "rep")
-    own = lists.join(label, "rep", "left").select("value", "rep", "weight", F.coalesce("label", "rep").alias("part"))
+    own = lists.join(label, "rep", "left").withColumn("part", F.coalesce("label", "rep")).drop("label")
     parts = own.groupBy("value", "part").agg(F.count("*").alias("n"))
     main = parts.groupBy("value").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("n")).filter("n > 1")
     return cut(own.join(main.select("value", F.col("most.part").alias("main")), "value"))
@@ -149,10 +150,14 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
 
     left = _apart(lists.drop("pivot"), found).select(F.col("rep").alias("doc_id")).distinct()
     whole = sets.join(left, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size"), F.col("shingles").alias("members"))
-    mixed = _apart(cut(_lists(whole, F.ceil(F.col("size") * percent / 100))), found)
-    one = mixed.filter("part <> main").select("value", F.col("rep").alias("a"), F.col("part").alias("part_a"))
-    other = mixed.select("value", F.col("rep").alias("b"), F.col("part").alias("part_b"))
-    settle(one.join(other, "value").filter("part_a <> part_b").select("a", "b"))
+    wide = _lists(whole, F.ceil(F.col("size") * percent / 100)).join(whole.select("rep", "size"), "rep")
+    mixed = _apart(cut(wide), found)
+    one = mixed.filter("part <> main").select("value", F.col("rep").alias("a"), F.col("part").alias("part_a"), F.col("behind").alias("behind_a"), F.col("size").alias("size_a"))
+    other = mixed.select("value", F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("behind").alias("behind_b"), F.col("size").alias("size_b"))
+    # the first list that a pair meets in has all their common members from there on
+    common = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100 + percent))
+    enough = (F.col("part_a") != F.col("part_b")) & (F.least("behind_a", "behind_b") >= common)
+    settle(one.join(other, "value").filter(enough).select("a", "b"))
     return found
 
 
