@@ -6,19 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storkline.llm import kd_shards, perplexity, personal_data, pieces, rule_ensemble, warc
+from storkline.llm import interpolation, kd_shards, perplexity, personal_data, pieces, rule_ensemble, token_counts, warc
 from storkline.llm.decontaminate import find_leaks
 from storkline.llm.near_dups import near_duplicates
-from storkline.session import stage_path
+from storkline.session import cut, stage_path
 
-#: SentencePiece model file; read by the driver, its content goes to the tasks
+#: a SentencePiece model file and a rank file; read by the driver, their contents go to the tasks
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_delta_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents, committed in four batches of which one is sent twice."""
+    counts = cut(token_counts.count(_table(spark, sf_dir, "documents"), token_counts.read_ranks(RANKS), "byte_bpe_50k"))
+    rollup = token_counts.Rollup(spark, stage_path(spark))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    for k in (0, 1, 2, 1, 3):
+        rollup.commit(f"part {k}", counts.filter(part == k))
+    return rollup.totals()
+
+
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item."""
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -28,6 +39,10 @@ def op3_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shards(_table(spark, sf_dir, "documents"), 16)
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +80,7 @@ def op10_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_simhash_decontamination, op3_kd_tree_shards, op5_bilstm_crf_pii, op6_sentencepiece_shared_prefix,
+        op1_delta_token_rollup, op2_simhash_decontamination, op3_kd_tree_shards, op4_deleted_interpolation, op5_bilstm_crf_pii, op6_sentencepiece_shared_prefix,
         op7_content_addressed_warc, op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules,
     )
 }

@@ -1,0 +1,92 @@
+"""Token totals against plain counting, and the rules of commits."""
+
+from collections import Counter
+
+import pytest
+import tiktoken
+
+from storkline.llm import queries, token_counts
+from storkline.llm.token_counts import Rollup, count
+
+RANKS = token_counts.read_ranks(queries.RANKS)
+ENCODING = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+def plain(rows):
+    """{(source, lang): (documents, tokens, characters)} of (doc_id, text, source, lang)."""
+    total = Counter()
+    for _, t, source, lang in rows:
+        for i, x in enumerate((1, len(ENCODING.encode_ordinary(t or "")), len(t or ""))):
+            total[source, lang, i] += x
+    return {k[:2]: tuple(total[(*k[:2], i)] for i in range(3)) for k in total}
+
+
+def found(totals):
+    rows = totals.collect()
+    assert len({(r.source, r.lang, r.tokenizer) for r in rows}) == len(rows)
+    return {(r.source, r.lang): (r.n_docs, r.n_tokens, r.n_chars) for r in rows}
+
+
+def frame(spark, rows):
+    return count(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), RANKS, "v1")
+
+
+def test_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang").collect()
+    assert found(queries.op1_delta_token_rollup(spark, "/root/testdata/sf0.01")) == plain(docs)
+
+
+def test_inserts_deletes_and_revisions(spark, documents, tmp_path):
+    rows = [(i, t, f"s{i % 3}", "en" if i % 2 else None) for i, t in documents[:100]]
+    rollup = Rollup(spark, str(tmp_path))
+    assert rollup.totals().count() == 0 and rollup.counted().count() == 0
+    assert rollup.commit("a", frame(spark, rows[:60])) and rollup.commit("b", frame(spark, rows[60:]))
+    assert not rollup.commit("a", frame(spark, rows)) and not Rollup(spark, str(tmp_path)).commit("b", frame(spark, rows))
+    assert found(rollup.totals()) == plain(rows)
+    gone = [r[0] for r in rows[::7]] + [-5]
+    change = rollup.deletes(spark.createDataFrame([(i,) for i in gone + gone], "doc_id long"))
+    assert rollup.commit("c/1 ü", change) and not rollup.commit("c/1 ü", change)
+    left = [r for r in rows if r[0] not in gone]
+    assert found(rollup.totals()) == plain(left)
+    new = [(r[0], (r[1] or "") + " more words", "s9", r[3]) for r in left[:20]] + [(10_000, "a new one", "s9", "en")]
+    assert rollup.commit("d", rollup.revisions(frame(spark, new)))
+    left = [r for r in left if r[0] not in {x[0] for x in new}] + new
+    assert found(rollup.totals()) == plain(left)
+    assert {r.doc_id for r in rollup.counted().collect()} == {r[0] for r in left}
+    assert rollup.commit("e", rollup.deletes(spark.createDataFrame([(r[0],) for r in left], "doc_id long"), "v1"))
+    assert rollup.totals().count() == 0
+
+
+def test_versions_stand_side_by_side(spark, tmp_path):
+    rollup = Rollup(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "one two", "a", "en")], "doc_id long, text string, source string, lang string")
+    rollup.commit("1", count(docs, RANKS, "v1"))
+    rollup.commit("2", count(docs, RANKS, "v2"))
+    assert {r.tokenizer for r in rollup.totals().collect()} == {"v1", "v2"}
+    rollup.commit("3", rollup.deletes(docs, "v1"))
+    assert [r.tokenizer for r in rollup.totals().collect()] == ["v2"]
+
+
+def test_a_commit_broken_off_does_not_count(spark, tmp_path):
+    rollup = Rollup(spark, str(tmp_path))
+    rows = [(1, "one two", "a", "en")]
+    frame(spark, rows).write.parquet(str(tmp_path / "batches" / "dead" / "rows"))
+    assert rollup.totals().count() == 0
+    broken = spark.createDataFrame([(1, "a", "en", "v1", 1, 1, 1)], token_counts._ROWS).withColumn("n_docs", token_counts.F.raise_error(token_counts.F.lit("stop")).cast("long"))
+    with pytest.raises(Exception, match="stop"):
+        rollup.commit("x", broken)
+    assert rollup.commit("x", frame(spark, rows)) and found(rollup.totals()) == plain(rows)
+
+
+def test_long_texts_are_cut_between_tokens(monkeypatch):
+    monkeypatch.setattr(token_counts, "PIECE", 50)
+    for t in ("word, next  two\n three 12 " * 40, "x" * 500, " " * 300 + "a b " * 100, "a\n b c's " * 60, " end " * 30, "a b" * 100):
+        parts = list(token_counts._cut(t))
+        assert "".join(parts) == t
+        assert [i for p in parts for i in ENCODING.encode_ordinary(p)] == ENCODING.encode_ordinary(t)
+
+
+def test_odd_rows(spark, odd, nothing):
+    rows = count(odd, RANKS, "v1").collect()
+    assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
+    assert count(nothing, RANKS, "v1").count() == 0
