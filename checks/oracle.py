@@ -30,7 +30,7 @@ cte("mapped", "SELECT c.*, m.category FROM mapsto m JOIN f_concept c ON c.concep
 cte("standardized", "SELECT * FROM std UNION ALL SELECT * FROM mapped")
 
 # -- prevalence --------------------------------------------------------------------------
-cte("with_code", "SELECT DISTINCT person_id FROM f_event WHERE concept_id IN (SELECT concept_id FROM f_initial)")
+cte("with_code", "SELECT DISTINCT person_id FROM f_event WHERE concept_id IN (SELECT concept_id FROM standardized)")
 BORN = """try_cast(year_of_birth || '-' || month_of_birth || '-' || coalesce(day_of_birth, 1) AS DATE)"""
 cte("cases", f"SELECT person_id, gender_concept_name, {BORN} AS date_of_birth FROM f_person "
     "WHERE person_id IN (SELECT person_id FROM with_code)")
@@ -225,7 +225,7 @@ cte("hip", """SELECT h.*, g.gest_date, CASE WHEN h.visit_date - g.gest_date > 0
 # -- timing-specific concepts ----------------------------------------------------------------
 cte("matched", """SELECT person_id, domain, concept_id AS domain_concept_id, concept_name AS domain_concept_name,
  event_date AS domain_concept_start_date, count(*) AS n_records FROM f_event
- WHERE concept_id IN (SELECT concept_id FROM f_hip) GROUP BY ALL""")
+ WHERE concept_id IN (SELECT concept_id FROM specific) GROUP BY ALL""")
 SPAN = """SELECT m.*, h.episode, h.estimated_start_date AS start_date_of_pregnancy, h.visit_date AS end_date,
  h.category FROM matched m JOIN hip h ON h.person_id = m.person_id
  AND m.domain_concept_start_date > h.estimated_start_date AND m.domain_concept_start_date < h.visit_date"""
@@ -260,8 +260,9 @@ cte("summary", """SELECT m.domain_concept_id, m.domain_concept_name, avg(gestati
  USING (domain_concept_id, domain_concept_name) GROUP BY ALL""")
 
 # -- timing branch ---------------------------------------------------------------------------
-cte("pps_domain", """SELECT DISTINCT person_id, event_date, concept_id, concept_name, domain FROM f_event
- WHERE domain = 'measurement' AND concept_id IN (SELECT domain_concept_id FROM f_pps)""")
+cte("pps_domain", """SELECT * FROM (SELECT DISTINCT person_id, event_date, concept_id, concept_name, domain FROM f_event
+ WHERE domain IN ('condition', 'procedure', 'observation', 'measurement') UNION SELECT person_id, visit_start_date,
+ visit_concept_id, visit_concept_name, 'visit' FROM f_visit) WHERE concept_id IN (SELECT domain_concept_id FROM f_pps)""")
 cte("pps_records", f"""SELECT * FROM (SELECT DISTINCT person_id, event_date, concept_id, concept_name, domain FROM f_event
  WHERE domain <> 'drug' UNION SELECT person_id, visit_start_date, visit_concept_id, visit_concept_name, 'visit'
  FROM f_visit) WHERE concept_id IN (SELECT domain_concept_id FROM f_pps)
@@ -286,10 +287,11 @@ cte("pps_agree", f"""SELECT a.person_id, a.position, a.event_date,
  OR EXISTS (SELECT 1 FROM pps_line e JOIN pps_line l ON l.person_id = e.person_id
   WHERE e.person_id = a.person_id AND e.position < a.position AND e.position + l.position = 2 * a.position
   AND {fits('l', 'e')}) AS agrees
- FROM pps_line a WHERE a.gap_days / 30 > {P.new_episode_months} AND a.gap_days / 30 <= {P.split_months}""")
+ FROM pps_line a""")
 cte("pps_split", f"""SELECT *, CAST(1 + sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (
  PARTITION BY person_id ORDER BY position) AS INT) AS episode FROM (
- SELECT l.*, coalesce(gap_days / 30 > {P.split_months}, false) OR coalesce(NOT agrees, false) AS starts
+ SELECT l.*, coalesce(gap_days / 30 > {P.split_months}, false)
+ OR coalesce(gap_days / 30 > {P.new_episode_months} AND NOT agrees, false) AS starts
  FROM pps_line l LEFT JOIN pps_agree a USING (person_id, position))""")
 cte("pps_short", f"""SELECT s.* REPLACE (CAST(dense_rank() OVER (PARTITION BY person_id ORDER BY episode) AS INT) AS episode)
  FROM pps_split s JOIN (SELECT person_id, episode FROM pps_split GROUP BY ALL
@@ -471,11 +473,16 @@ cte("gr_basis", """SELECT person_id, episode_number, any_value(overlap_threshold
  list(struct_pack(ss := s, se := e, cs := s, ce := e) ORDER BY n_overlap DESC, s, e) FILTER (kept),
  list(struct_pack(ss := s, se := e, cs := s, ce := e) ORDER BY n_overlap DESC, s, e)[1:1]) AS basis
  FROM gr_kept GROUP BY ALL""")
+cte("gr_list", """SELECT person_id, episode_number, string_agg(strftime(s, '%Y-%m-%d') || '/' || strftime(e, '%Y-%m-%d') || 'x' || n,
+ ';' ORDER BY n_overlap DESC, s, e) AS kept FROM (SELECT person_id, episode_number, s, e, n_overlap, count(*) AS n
+ FROM gr_kept WHERE kept GROUP BY ALL) GROUP BY ALL""")
 cte("gr_core", """SELECT person_id, episode_number, overlap_threshold, n_kept, list_reduce(basis, lambda a, x: struct_pack(
  ss := least(a.ss, x.ss), se := greatest(a.se, x.se),
  cs := CASE WHEN x.ss > a.cs AND x.ss < (CASE WHEN x.se < a.ce AND x.se > a.cs THEN x.se ELSE a.ce END)
   THEN x.ss ELSE a.cs END,
  ce := CASE WHEN x.se < a.ce AND x.se > a.cs THEN x.se ELSE a.ce END)) AS f FROM gr_basis""")
+cte("gr_shown", """SELECT c.person_id, c.episode_number, overlap_threshold, n_kept, coalesce(l.kept, '') AS kept
+ FROM gr_core c LEFT JOIN gr_list l USING (person_id, episode_number)""")
 cte("cores", f"""SELECT person_id, episode_number, f.ss AS span_start, f.se AS span_end, f.cs AS raw_start, f.ce AS raw_end,
  f.cs + CAST(floor((f.ce - f.cs) / 2) AS INT) AS core_midpoint, CAST(f.se - f.ss AS INT) AS range_days,
  CASE WHEN f.ce - f.cs < {P.min_core_days} THEN f.cs + CAST(floor((f.ce - f.cs) / 2) AS INT) - {P.core_half_width}
@@ -501,8 +508,11 @@ def week_filter(name: str, source: str) -> None:
 
 week_filter("gw_used", "gw_used")
 week_filter("gw_all", "gw")
-cte("gw_all_list", """SELECT person_id, episode_number, string_agg(strftime(d, '%Y-%m-%d') || 'x' || n, ';' ORDER BY d) AS good
- FROM (SELECT person_id, episode_number, d, count(*) AS n FROM gw_all_good GROUP BY ALL) GROUP BY ALL""")
+FIRST = "ORDER BY domain_value DESC NULLS LAST, event_date, concept_id"
+cte("gw_all_list", f"""SELECT person_id, episode_number, string_agg(strftime(d, '%Y-%m-%d') || 'x' || n, ';'
+ ORDER BY v DESC NULLS LAST, e, c) AS good FROM (SELECT person_id, episode_number, d, count(*) AS n,
+ first(domain_value {FIRST}) AS v, first(event_date {FIRST}) AS e, first(concept_id {FIRST}) AS c
+ FROM gw_all_good GROUP BY person_id, episode_number, d) GROUP BY ALL""")
 PRECISION = """CASE WHEN precision_days = -1 THEN 'week_poor-support' WHEN precision_days BETWEEN 0 AND 7 THEN 'week'
  WHEN precision_days BETWEEN 8 AND 14 THEN 'two-week' WHEN precision_days BETWEEN 15 AND 21 THEN 'three-week'
  WHEN precision_days BETWEEN 22 AND 28 THEN 'month' WHEN precision_days BETWEEN 29 AND 56 THEN 'two-month'

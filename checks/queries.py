@@ -40,7 +40,7 @@ class Steps(Pipeline):
     # prevalence
     @cached_property
     def with_code(self):
-        return prevalence.persons_with_code(self.tables.event, self.lists.initial, self.p)
+        return prevalence.persons_with_code(self.tables.event, self.standard_codes, self.p)
 
     @cached_property
     def per_person(self):
@@ -113,11 +113,7 @@ class Steps(Pipeline):
     def unlapped(self):
         return reconcile.remove_overlaps(self.cleaned)
 
-    # timing-specific concepts; the fixture's specific list is the outcome code list
-    @cached_property
-    def specific_concepts(self):
-        return self.lists.outcomes.select("concept_id")
-
+    # timing-specific concepts
     @cached_property
     def matched(self):
         return timing.match_concepts(self.tables.event, self.specific_concepts, self.p)
@@ -335,14 +331,12 @@ def _with_ranges(df: DataFrame) -> DataFrame:
 
 def _kept_ranges(s: Steps) -> DataFrame:
     n = F.aggregate("kept", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
-    return _with_ranges(s.outliers).withColumn("n_kept", n)
+    return _with_ranges(s.outliers).withColumn("n_kept", n).withColumn("kept", _joined_text("kept", "start", "end"))
 
 
 def _kept_weeks(s: Steps) -> DataFrame:
     good = start_dates.week_outliers(s.evidence_lists.filter(F.size("weeks") > 0), "weeks", "good")
-    return good.withColumn("good", F.array_sort("good", lambda a, b: F.date_diff(a["start"], b["start"]))).withColumn(
-        "good", _joined_text("good", "start")
-    )
+    return good.withColumn("good", _joined_text("good", "start"))
 
 
 def _validated(s: Steps) -> DataFrame:
@@ -426,7 +420,7 @@ QUERIES: dict[str, Query] = {
         "domain_concept_id domain_concept_name mean_gestation_month:f stddev_gestation_month:f distinct_patients"),
     # timing branch
     "pps_match_domain": Query(
-        lambda s: pps.match_domain(s.tables.event, s.lists.months, "measurement"), "pps_domain", RECORD),
+        lambda s: pps.match_domains(s.tables.event, s.tables.visit, s.lists.months), "pps_domain", RECORD),
     "pps_input_events": Query(lambda s: s.records, "pps_records", RECORD),
     "pps_month_lookup": Query(lambda s: pps.month_lookup(s.lists.months), "pps_months", "concept_id min_month:f max_month:f"),
     "pps_person_timeline": Query(lambda s: s.line, "pps_line", LINE),
@@ -479,7 +473,7 @@ QUERIES: dict[str, Query] = {
     "esd_date_validate": Query(
         _validated, "evidence", f"{EPISODE} rollup_name event_date:d gt_type concept_id",
         "coalesce(extrapolated_preg_start, min_pregnancy_start, max_pregnancy_start) IS NOT NULL"),
-    "esd_range_outliers": Query(_kept_ranges, "gr_core", f"{EPISODE} overlap_threshold:f n_kept"),
+    "esd_range_outliers": Query(_kept_ranges, "gr_shown", f"{EPISODE} overlap_threshold:f n_kept kept"),
     "esd_range_intersection": Query(
         lambda s: _with_ranges(s.intersected).withColumnsRenamed({"core_start": "raw_start", "core_end": "raw_end"}),
         "cores", f"{EPISODE} span_start:d span_end:d raw_start:d raw_end:d"),

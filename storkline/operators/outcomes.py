@@ -105,10 +105,14 @@ def admit_through(spaced: DataFrame, limits: DataFrame, last: str = "DELIV") ->
 
 
 def term_rules(terms: DataFrame) -> DataFrame:
-    """Term durations of the known categories: at most one row each, so always fit to broadcast."""
-    days = [F.col(c).cast("int").alias(c) for c in ("min_term", "max_term", "retry")]
+    """Term durations of the known categories: one row each, so always fit to broadcast. Two rows for
+    a category are an error."""
+    twice = F.raise_error(F.concat(F.lit("more than one term rule for category "), F.col("category")))
+    days = [
+        F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max(F.col(c).cast("int"))).alias(c) for c in ("min_term", "max_term", "retry")
+    ]
     known = terms.filter(F.col("category").isin(*OUTCOMES, NO_OUTCOME))
-    return F.broadcast(known.select("category", *days).dropDuplicates(["category"]))
+    return F.broadcast(known.groupBy("category").agg(*days))
 
 
 def start_bounds(outcomes: DataFrame, terms: DataFrame) -> DataFrame:

@@ -14,27 +14,30 @@ RECORD = ["person_id", "event_date", "concept_id", "concept_name", "domain"]
 RECORD_ORDER = ["event_date", "concept_id", "concept_name", "domain"]
 
 
-def match_domain(event: DataFrame, months: DataFrame, domain: str) -> DataFrame:
-    """Distinct records of one domain that carry a timed concept."""
+def _records(event: DataFrame, visit: DataFrame) -> DataFrame:
+    """Records of conditions, procedures, observations, measurements and visits."""
+    visits = visit.select(
+        "person_id", F.col("visit_start_date").alias("event_date"), F.col("visit_concept_id").alias("concept_id"),
+        F.col("visit_concept_name").alias("concept_name"), F.lit("visit").alias("domain"),
+    )
+    return event.filter(F.col("domain") != "drug").select(*RECORD).unionByName(visits)
+
+
+def _timed(rows: DataFrame, months: DataFrame) -> DataFrame:
     codes = months.select(F.col("domain_concept_id").alias("concept_id")).distinct()
-    rows = event.filter(F.col("domain") == domain).select(*RECORD)
     return rows.join(codes, "concept_id", "left_semi").select(*RECORD).distinct()
 
 
+def match_domains(event: DataFrame, visit: DataFrame, months: DataFrame) -> DataFrame:
+    """Distinct records of timed concepts in all five domains, at any time."""
+    return _timed(_records(event, visit), months)
+
+
 def timed_records(event: DataFrame, visit: DataFrame, months: DataFrame, p: Params) -> DataFrame:
     """Distinct records of timed concepts in the study window, visits included, drugs not."""
-    codes = months.select(F.col("domain_concept_id").alias("concept_id")).distinct()
-    visits = visit.select(
-        "person_id", F.col("visit_start_date").alias("event_date"), F.col("visit_concept_id").alias("concept_id"),
-        F.col("visit_concept_name").alias("concept_name"), F.lit("visit").alias("domain"),
-    )
-    rows = event.filter(F.col("domain") != "drug").select(*RECORD).unionByName(visits)
-    return (
-        rows.filter((F.col("event_date") > F.lit(p.study_start)) & (F.col("event_date") <= F.lit(p.study_end)))
-        .join(codes, "concept_id", "left_semi")
-        .select(*RECORD)
-        .distinct()
-    )
+    rows = _records(event, visit)
+    inside = (F.col("event_date") > F.lit(p.study_start)) & (F.col("event_date") <= F.lit(p.study_end))
+    return _timed(rows.filter(inside), months)
 
 
 def month_lookup(months: DataFrame) -> DataFrame:
@@ -74,24 +77,24 @@ def _fits(later: str, earlier: str, p: Params) -> Column:
     return (most >= months) & (months >= least)
 
 
-def _undecided(p: Params) -> Column:
+def undecided(p: Params) -> Column:
     """Only after such a gap does agreement decide: a shorter one never starts an episode,
     a longer one always does."""
     gap_months = F.col("gap_days") / 30
     return (gap_months > p.new_episode_months) & (gap_months <= p.split_months)
 
 
-def agreement(ordered: DataFrame, months: DataFrame, p: Params) -> DataFrame:
-    """For each record after an undecided gap: does it fit any earlier record, or do two records
-    the same number of positions before and after it fit each other?
+def agreement(ordered: DataFrame, months: DataFrame, p: Params, asked_for: Column | None = None) -> DataFrame:
+    """For each record, or those asked for: does it fit any earlier record, or do two records the
+    same number of positions before and after it fit each other?
 
-    Undecided records of a person are months apart and two records further apart than the
-    widest month range can never fit, so each record meets only a few undecided ones: the work
-    grows with the records, not with their square.
+    Two records further apart than the widest month range can never fit, so a record meets only
+    the person's records of those months. Asked for records after an undecided gap, which are
+    months apart, the work grows with the records, not with their square.
     """
     base = ["person_id", "position", "event_date", "min_month", "max_month"]
     rows = ordered.select(*base)
-    asked = ordered.filter(_undecided(p)).select(*base, "records")
+    asked = ordered.filter(F.lit(True) if asked_for is None else asked_for).select(*base, "records")
     reach = months.agg((F.max("max_month") - F.min("min_month") + p.month_tolerance).alias("reach")).scalar()
     near = (
         asked.alias("a")
@@ -135,7 +138,7 @@ def agreement(ordered: DataFrame, months: DataFrame, p: Params) -> DataFrame:
 def split_episodes(ordered: DataFrame, months: DataFrame, p: Params) -> DataFrame:
     """Number each person's episodes: a new one starts after a long gap, or an undecided one
     without agreement."""
-    agrees = agreement(ordered, months, p).select("person_id", "position", "agrees")
+    agrees = agreement(ordered, months, p, undecided(p)).select("person_id", "position", "agrees")
     w = Window.partitionBy("person_id").orderBy("position")
     starts = (F.col("gap_days") / 30 > p.split_months) | ~F.col("agrees")
     return (
@@ -169,12 +172,6 @@ def drop_frequent_persons(kept: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def episode_records(records: DataFrame, months: DataFrame, person: DataFrame, p: Params) -> DataFrame:
-    """All steps from records to numbered episodes."""
-    ordered = timeline(records, months, person, p)
-    return drop_frequent_persons(drop_long_episodes(split_episodes(ordered, months, p), p), p)
-
-
 def episode_bounds(kept: DataFrame, p: Params) -> DataFrame:
     """First and last day of each episode, and the latest day a pregnancy behind its last
     record can reach."""

@@ -34,9 +34,9 @@ class Pipeline:
 
     @cached_property
     def specific_concepts(self) -> DataFrame:
-        """Concepts far more common in persons with an initial code than in others."""
+        """Concepts far more common in persons with a code of the standardized list than in others."""
         p, event, person = self.p, self.tables.event, self.tables.person
-        with_code = cut(prevalence.persons_with_code(event, self.lists.initial, p))
+        with_code = cut(prevalence.persons_with_code(event, self.standard_codes, p))
         per_person = cut(prevalence.person_concepts(event))
         case_rows = prevalence.reproductive_age(
             prevalence.concept_ages(per_person, prevalence.cases(person, with_code)), p
