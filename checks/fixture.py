@@ -63,12 +63,16 @@ SELECT o.o_custkey AS person_id,
  CASE WHEN l.l_partkey % 32 IN (6, 7)
   THEN 'Gestation period, ' || CAST(4 + (l.l_partkey * 7) % 42 AS VARCHAR(4)) || ' weeks'
   ELSE p.p_name END AS concept_name,
- CAST(l.l_shipdate AS DATE) AS event_date, c.c_nationkey AS data_partner_id, l.l_quantity AS value_as_number,
- CASE WHEN l.l_linenumber % 2 = 1 THEN CAST(CAST(floor(l.l_quantity) AS INT) AS VARCHAR(8)) ELSE 'n/a' END
+ CAST(l.l_shipdate AS DATE) + k.later AS event_date, c.c_nationkey AS data_partner_id,
+ l.l_quantity + k.more AS value_as_number,
+ CASE WHEN l.l_linenumber % 2 = 1 THEN CAST(CAST(floor(l.l_quantity) + k.more AS INT) AS VARCHAR(8)) ELSE 'n/a' END
   AS value_as_string,
- l.l_orderkey * 10 + l.l_linenumber AS record_id
+ (l.l_orderkey * 10 + l.l_linenumber) * 100 + k.later * 2 + k.more AS record_id
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
- JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {customer} c ON o.o_custkey = c.c_custkey""",
+ JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {customer} c ON o.o_custkey = c.c_custkey
+ JOIN (VALUES (0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 2, 0), (1, 5, 0), (1, 9, 1), (1, 14, 0), (1, 20, 0), (1, 27, 0),
+  (1, 35, 1)) AS k(kind, later, more)
+ ON k.kind = CASE WHEN l.l_partkey % 32 BETWEEN 6 AND 11 AND o.o_orderkey % 8 = 0 THEN 1 ELSE 0 END""",
     "f_visit": """
 SELECT o_custkey AS person_id, 1 + o_orderkey % 200 AS visit_concept_id, o_orderpriority AS visit_concept_name,
  CAST(o_orderdate AS DATE) AS visit_start_date
@@ -82,6 +86,7 @@ SELECT * FROM (VALUES ('LB', 161, 301, 28), ('SB', 140, 301, 28), ('DELIV', 140,
 PARAMS = Params(
     study_start=date(1995, 1, 1), study_end=date(2001, 12, 31), birth_year_min=1960, birth_year_max=1990,
     min_persons=10, min_ratio=1.0, min_share=0.0, max_stddev=2.9, max_stddev_across=2.0,
+    max_span_months=6, max_episodes_per_year=1,
 )
 
 

@@ -39,11 +39,32 @@ def controls(person: DataFrame, with_code: DataFrame) -> DataFrame:
     return _demographics(person.join(with_code, "person_id", "left_anti"))
 
 
+# a day and a record id in one decimal, by day and then by id; a missing day or id comes first
+_ID_PLACES = "100000000000000000000"
+_NO_DAY, _NO_ID = -10_000_000, "-10000000000000000000"
+
+
+def _day_and_id() -> Column:
+    wide = "decimal(38,0)"
+    day = F.coalesce(F.date_diff("event_date", F.lit("1970-01-01").cast("date")), F.lit(_NO_DAY))
+    number = F.coalesce(F.col("record_id").cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
+    return (day.cast("decimal(10,0)") * F.lit(_ID_PLACES).cast("decimal(21,0)") + number).cast(wide)
+
+
 def person_concepts(event: DataFrame) -> DataFrame:
-    """The earliest record of each person and concept, over all domains; reduced before the shuffle."""
-    record = F.struct(F.col("event_date").alias("visit_date"), "domain", "record_id", "concept_name")
+    """The earliest record of each person and concept, over all domains; of equal days the first by
+    domain, record id and name.
+
+    The event table is reduced by a hash aggregate, as its only buffer is a number; the strings of a
+    record are keys. The rest is settled on the few rows that a person and concept then have.
+    """
+    firsts = event.groupBy("person_id", "concept_id", "domain", "concept_name").agg(F.min(_day_and_id()).alias("_first"))
+    half = F.lit(_ID_PLACES).cast("decimal(21,0)") / 2
+    day = F.floor((F.col("_first") + half) / F.lit(_ID_PLACES).cast("decimal(21,0)")).cast("int")
+    visit_date = F.when(day > _NO_DAY, F.date_add(F.lit("1970-01-01").cast("date"), day))
+    record = F.struct(visit_date.alias("visit_date"), "domain", "_first", "concept_name")
     return (
-        event.groupBy("person_id", "concept_id")
+        firsts.groupBy("person_id", "concept_id")
         .agg(F.min(record).alias("r"))
         .select("person_id", "concept_id", "r.concept_name", "r.visit_date", "r.domain")
     )

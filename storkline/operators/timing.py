@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storkline.config import NO_OUTCOME, Params
@@ -106,14 +106,21 @@ def stable_concepts(months: DataFrame, denied: DataFrame, p: Params) -> DataFram
         wide = F.col(stddev) > limit
         return F.coalesce(wide, F.lit(True)) if p.drop_single_sample else wide
 
-    unstable = frequent.filter(too_wide("stddev_of_month", p.max_stddev)).select("domain_concept_id").distinct()
-    steady = frequent.join(unstable, "domain_concept_id", "left_anti")
-    shifting = (
-        steady.groupBy(*CONCEPT).agg(F.stddev_samp("mean_month").alias("_across"))
-        .filter(too_wide("_across", p.max_stddev_across)).select("domain_concept_id").distinct()
+    # the statistics hold a row per concept and view; both rules are settled on them in place
+    by_id = Window.partitionBy("domain_concept_id")
+    steady = (
+        frequent.withColumn("_wide", F.max(F.coalesce(too_wide("stddev_of_month", p.max_stddev), F.lit(False))).over(by_id))
+        .filter(~F.col("_wide"))
+    )
+    across = F.stddev_samp("mean_month").over(Window.partitionBy(*CONCEPT))
+    kept = (
+        steady.withColumn("_across", across)
+        .withColumn("_shifts", F.max(F.coalesce(too_wide("_across", p.max_stddev_across), F.lit(False))).over(by_id))
+        .filter(~F.col("_shifts"))
+        .drop("_wide", "_across", "_shifts")
     )
     not_kept = denied.select(F.col("concept_id").alias("domain_concept_id")).distinct()
-    return steady.join(shifting, "domain_concept_id", "left_anti").join(not_kept, "domain_concept_id", "left_anti")
+    return kept.join(not_kept, "domain_concept_id", "left_anti")
 
 
 def concept_summary(stable: DataFrame, months: DataFrame) -> DataFrame:

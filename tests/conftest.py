@@ -4,10 +4,10 @@ from storkline.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests", **{"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-                    "spark.driver.memory": "4g"}
+                    "spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("stages"))}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

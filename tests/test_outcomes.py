@@ -83,3 +83,38 @@ def test_one_row_per_day_is_the_same_for_any_input_order(spark):
     first = kept(outcomes.outcome_visits(coded, "AB"))
     again = kept(outcomes.outcome_visits(coded.orderBy(F.col("concept_id").desc()), "AB"))
     assert first == again == [(1, "AB", 0), (1, "AB", 5)]
+
+
+# each cell of the threshold table: the group placed before or after, the new one, and the limit that decides
+CELLS = [
+    ("before", "LB", "SB", "LB_SB"), ("after", "LB", "SB", "SB_LB"),
+    ("before", "LB", "ECT", "LB_ECT"), ("before", "SB", "ECT", "LB_ECT"), ("after", "LB", "ECT", "ECT_LB"), ("after", "SB", "ECT", "ECT_SB"),
+    ("before", "LB", "AB", "LB_AB"), ("before", "SB", "AB", "LB_AB"), ("before", "ECT", "AB", "ECT_AB"),
+    ("after", "LB", "AB", "AB_LB"), ("after", "SB", "AB", "AB_SB"), ("after", "ECT", "AB", "AB_ECT"),
+    ("before", "LB", "DELIV", "LB_DELIV"), ("before", "SB", "DELIV", "LB_DELIV"), ("before", "ECT", "DELIV", "ECT_DELIV"),
+    ("before", "AB", "DELIV", "ECT_DELIV"), ("after", "LB", "DELIV", "DELIV_LB"), ("after", "SB", "DELIV", "DELIV_SB"),
+    ("after", "ECT", "DELIV", "DELIV_ECT"), ("after", "AB", "DELIV", "DELIV_ECT"),
+]
+
+
+def test_every_cell_has_its_own_limit(spark):
+    """The cell's limit is 100 days and all others 10 (or the other way round): a gap of 50 tells."""
+    seen = []
+    for large in (True, False):
+        for n, (side, placed, new, cell) in enumerate(CELLS):
+            own = {f"{a}_{b}": 10 if large else 100 for a in GROUPS for b in GROUPS} | {cell: 100 if large else 10}
+            days = {placed: 0, new: 50} if side == "before" else {new: 0, placed: 50}
+            timeline = visits(spark, *[(n, c, d) for c, d in days.items()]).withColumn("placed", F.col("outcome_group") == placed)
+            gaps = outcomes.limit_days(limits(spark, **own))
+            seen.append(outcomes.admit(timeline, new, gaps).filter(F.col("outcome_group") == new).select(
+                F.lit(large).alias("large"), F.lit(n).alias("n"), "placed"))
+    from functools import reduce
+
+    for r in reduce(lambda a, b: a.unionByName(b), seen).collect():
+        assert r.placed != r.large, CELLS[r.n]
+
+
+def test_two_term_rules_for_a_category_fail(spark):
+    terms = spark.createDataFrame([("LB", 161, 301, 28), ("LB", 160, 301, 28)], "category string, min_term int, max_term int, retry int")
+    with pytest.raises(Exception, match="more than one term rule"):
+        outcomes.start_bounds(visits(spark, (1, "LB", 400)), terms).collect()

@@ -69,10 +69,18 @@ def test_agreement_is_only_asked_after_undecided_gaps(spark):
     rows = [(1, 0, 10), (1, 60, 13), (2, 0, 10), (2, 61, 13), (3, 0, 10), (3, 301, 13), (4, 0, 10), (4, 90, 12)]
     records, months, person = frames(spark, rows)
     got = {(r.person_id, r.position): r.agrees for r in pps.agreement(
-        pps.timeline(records, months, person, P), months, P).collect()}
+        pps.timeline(records, months, person, P), months, P, pps.undecided(P)).collect()}
     assert got == {(2, 2): False, (4, 2): True}
 
 
+def test_agreement_of_every_record(spark):
+    rows = [(1, 0, 10), (1, 60, 13), (2, 0, 10), (2, 61, 13), (3, 0, 10), (3, 301, 13), (4, 0, 10), (4, 90, 12)]
+    records, months, person = frames(spark, rows)
+    got = {(r.person_id, r.position): r.agrees for r in pps.agreement(
+        pps.timeline(records, months, person, P), months, P).collect()}
+    assert got == {(p, n): (p, n) == (4, 2) for p in range(1, 5) for n in (1, 2)}
+
+
 def test_long_episodes_go_and_the_rest_is_renumbered(spark):
     data = [(1, DAY0, 1), (1, DAY0 + timedelta(361), 1), (1, DAY0 + timedelta(800), 2), (1, DAY0 + timedelta(1160), 2),
             (1, DAY0 + timedelta(1600), 3)]
