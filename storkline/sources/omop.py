@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -85,9 +85,15 @@ def union_events(domains: dict[str, DataFrame]) -> DataFrame:
 
 def read_tables(spark: SparkSession, folder: str, fmt: str = "parquet") -> Tables:
     """Read the OMOP tables below one folder, ``folder/<table>``, in any Spark file format."""
-    def read(name: str) -> DataFrame:
-        return spark.read.format(fmt).load(f"{folder}/{name}")
+    return _tables(lambda name: spark.read.format(fmt).load(f"{folder}/{name}"))
 
+
+def catalog_tables(spark: SparkSession, database: str) -> Tables:
+    """The OMOP tables of a database in the catalog, with whatever format and layout they have there."""
+    return _tables(lambda name: spark.table(f"{database}.{name}"))
+
+
+def _tables(read: Callable[[str], DataFrame]) -> Tables:
     return Tables(
         person=read("person"),
         event=union_events({table: read(table) for _, table, *_ in DOMAINS}),
