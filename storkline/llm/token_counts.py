@@ -10,8 +10,9 @@ commits' sums.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,6 +28,9 @@ _SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens lon
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: a text is cut between words after about so many characters
 PIECE = 100_000
+#: runs of so much white space are cut off, as the pattern's look-ahead fails on very long ones
+RUN = 10_000
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,14 +54,32 @@ def _cut(t: str) -> Iterator[str]:
     yield t[at:]
 
 
+def _parts(t: str) -> Iterator[tuple[bool, str]]:
+    """The text in parts that no token crosses, and whether a part is a long run of white space: the
+    pattern takes such a run in one piece, but for its last character if another one follows."""
+    at = 0
+    for m in re.finditer(f"[{_WHITE}]{{{RUN},}}", t) if len(t) >= RUN else ():
+        end = m.end() if m.end() == len(t) else m.end() - 1
+        yield from ((False, part) for part in _cut(t[at:m.start()]))
+        yield True, t[m.start():end]
+        at = end
+    yield from ((False, part) for part in _cut(t[at:]))
+
+
+def _counter(ranks: dict[bytes, int], tokenizer: str) -> Callable[[str], int]:
+    """How many tokens a text has."""
+    import tiktoken
+
+    words, runs = (tiktoken.Encoding(tokenizer, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, r"\s+"))
+    return lambda t: sum(len((runs if white else words).encode_ordinary(part)) for white, part in _parts(t))
+
+
 def _count(ranks, tokenizer: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        encoding = tiktoken.Encoding(tokenizer, pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        tokens_of = _counter(ranks.value, tokenizer)
         for batch in text.chunks(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            counts = [sum(len(encoding.encode_ordinary(part)) for part in _cut(t)) for t in texts]
+            counts = [tokens_of(t) for t in texts]
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(name) for name in ("doc_id", "source", "lang")), pa.array([tokenizer] * n), pa.array([1] * n, pa.int64()),

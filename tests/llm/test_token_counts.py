@@ -80,10 +80,20 @@ def test_a_commit_broken_off_does_not_count(spark, tmp_path):
 
 def test_long_texts_are_cut_between_tokens(monkeypatch):
     monkeypatch.setattr(token_counts, "PIECE", 50)
-    for t in ("word, next  two\n three 12 " * 40, "x" * 500, " " * 300 + "a b " * 100, "a\n b c's " * 60, " end " * 30, "a b" * 100):
+    monkeypatch.setattr(token_counts, "RUN", 40)
+    tokens_of = token_counts._counter(RANKS, "own")
+    for t in ("word, next  two\n three 12 " * 40, "x" * 500, " " * 300 + "a b " * 100, "a\n b c's " * 60, " end " * 30, "a b" * 100, "a" + " " * 90 + "b", "a" + "\n" * 90 + "b",
+              " " * 90, "x" + "\u3000\t" * 60 + "  y", "1" + " " * 39 + "2" + " " * 41):
         parts = list(token_counts._cut(t))
         assert "".join(parts) == t
         assert [i for p in parts for i in ENCODING.encode_ordinary(p)] == ENCODING.encode_ordinary(t)
+        assert "".join(part for _, part in token_counts._parts(t)) == t and tokens_of(t) == len(ENCODING.encode_ordinary(t))
+
+
+def test_very_long_runs():
+    tokens_of = token_counts._counter(RANKS, "own")
+    for c in (" ", "\n", "x", "!", "é"):
+        assert tokens_of("a " + c * 1_000_000 + "b") > 10_000
 
 
 def test_odd_rows(spark, odd, nothing):
