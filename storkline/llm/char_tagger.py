@@ -168,12 +168,24 @@ def tag(p: dict, stretches: list[np.ndarray], batch: int = 512) -> list[np.ndarr
             weights[i][own] += near
     scores = [s / w for s, w in zip(sums, weights, strict=True)]
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(stretches)
-    order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
-    for k in range(0, len(order), batch):
-        part = order[k:k + batch]
+    part: list[int] = []
+    for i in sorted(range(len(scores)), key=lambda i: len(scores[i])):
+        if part and (len(part) + 1) * len(scores[i]) > _PADDED:
+            _decide(p, scores, part, out)
+            part = []
+        part.append(i)
+    _decide(p, scores, part, out)
+    return out
+
+
+#: characters of stretches, padded to the longest, that are decided at once
+_PADDED = 100_000
+
+
+def _decide(p: dict, scores: list[np.ndarray], part: list[int], out: list[np.ndarray]) -> None:
+    if part:
         for i, best in zip(part, _viterbi(p, [scores[i] for i in part]), strict=True):
             out[i] = best
-    return out
 
 
 def _viterbi(p: dict, scores: list[np.ndarray]) -> list[np.ndarray]:

@@ -75,6 +75,16 @@ def test_viterbi_finds_the_best_sequence():
         assert tuple(got) == max(product(range(3), repeat=len(s)), key=value)
 
 
+def test_a_long_stretch_beside_short_ones():
+    """Stretches are decided in parts of a bounded size, whatever their lengths."""
+    p = char_tagger.start(3)
+    pick = np.random.default_rng(2)
+    stretches = [pick.integers(0, 128, n) for n in (5, 150_000, 70, 64, 1)]
+    found = char_tagger.tag(p, stretches)
+    assert [len(y) for y in found] == [len(s) for s in stretches]
+    assert all((y == char_tagger.tag(p, [s])[0]).all() for s, y in zip(stretches[2:], found[2:], strict=True))
+
+
 def test_windows_cover_every_character():
     for n in (1, 63, 64, 65, 100, 1000):
         covered = {c for a in char_tagger.window_starts(n) for c in range(a, min(a + char_tagger.WINDOW, n))}
