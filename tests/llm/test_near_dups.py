@@ -4,9 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
-from storkline.llm import near_dups
+from storkline.llm import near_dups, queries
 from storkline.llm.near_dups import drop_near_duplicates, near_duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -81,3 +82,12 @@ def test_odd_rows(spark, odd, nothing):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 9]
     assert near_duplicates(nothing).count() == 0 and drop_near_duplicates(nothing).count() == 0
+
+
+def test_against_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    out = queries.op8_minhash_near_dedup(spark, sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    sql = con.execute(f"SELECT {', '.join(out.columns)} FROM ({queries.ORACLE_SQL['op8_minhash_near_dedup']})").fetchall()
+    assert sorted(tuple(r) for r in out.collect()) == sorted(sql)
