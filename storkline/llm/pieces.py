@@ -13,6 +13,7 @@ Both give the ids of the SentencePiece library.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -25,8 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from storkline.llm import text
 
 MARK = "▁"
-#: words whose ids a task remembers; beyond that it starts anew
-REMEMBERED = 200_000
+#: words whose ids a worker remembers, from task to task; beyond that it starts anew
+REMEMBERED = 400_000
 _NORMAL, _UNKNOWN, _BYTE, _UNIGRAM, _MERGES = 1, 2, 6, 1, 2
 
 
@@ -55,16 +56,22 @@ class Pieces:
     byte_ids: list[int]
     unknown: int
     merges: bool
-    longest: int = 0
     crossing: bool = False
-    _fits: dict[tuple[int, int], bool] = field(default_factory=dict)
+    _fits: dict[int, bool] = field(default_factory=dict)
+    #: endings of pieces and the ids of those that are pieces themselves, else -1
+    _ending: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.longest = max(map(len, self.ids), default=1)
+        for name in self.ids:
+            for a in range(len(name)):
+                self._ending[name[a:]] = self.ids.get(name[a:], -1)
         self.crossing = any(MARK in name.lstrip(MARK) for name in self.ids)
         self.words = _words(self.ids)
         self.floor = min(self.scores, default=0.0) - 10
 
+    def digest(self) -> str:
+        return hashlib.sha256(repr((self.names, self.scores, self.merges)).encode()).hexdigest()
+
     def marked(self, t: str) -> list[str]:
         """The marked words of a text."""
         if not t:
@@ -88,48 +95,73 @@ class Pieces:
 
     def fits(self, before: int, piece: int) -> bool:
         """Whether merging leaves these two pieces next to each other; -1 for no piece before."""
-        found = self._fits.get((before, piece))
-        if found is None:
-            own = [self.names[piece]] if before < 0 else [self.names[before], self.names[piece]]
-            found = self._fits[before, piece] = self.merged("".join(own)) == own
-        return found
+        own = [self.names[piece]] if before < 0 else [self.names[before], self.names[piece]]
+        return self.merged("".join(own)) == own
 
     def cuts(self, words: list[str]) -> Iterator[list[int]]:
         """The ids of each of the sorted words. States are kept by prefix length: score, last piece
         (-1 at the start and after an unknown character) and where it begins."""
-        get, fits, scores, merges = self.ids.get, self.fits, self.scores, self.merges
+        extend = self._extend_merged if self.merges else self._extend_best
         score, last, begin = [0.0], [-1], [0]
-        before = ""
+        before, size = "", 0
         for word in words:
-            same = 0
-            for a, b in zip(before, word):
-                if a != b:
-                    break
+            same, most = 0, min(size, len(word))
+            while same < most and before[same] == word[same]:
                 same += 1
             del score[same + 1:], last[same + 1:], begin[same + 1:]
-            for i in range(same + 1, len(word) + 1):
-                best, piece, at = None, -1, i - 1
-                for j in range(max(0, i - self.longest), i):
-                    own = get(word[j:i])
-                    if own is None:
-                        continue
-                    if merges:
-                        if fits(last[j], own):
-                            best, piece, at = score[j], own, j
-                            break
-                    elif best is None or score[j] + scores[own] > best:
-                        best, piece, at = score[j] + scores[own], own, j
-                if word[i - 1] not in self.ids and (best is None or not merges and score[i - 1] + self.floor > best):
-                    best, piece, at = score[i - 1] + (0.0 if merges else self.floor), -1, i - 1
-                score.append(best)
-                last.append(piece)
-                begin.append(at)
-            before = word
-            out, i = [], len(word)
+            extend(word, score, last, begin)
+            before, size = word, len(word)
+            out, i = [], size
             while i:
-                out += [last[i]] if last[i] >= 0 else self._unknown(word[begin[i]:i])[::-1]
+                if last[i] >= 0:
+                    out.append(last[i])
+                else:
+                    out += self._unknown(word[begin[i]:i])[::-1]
                 i = begin[i]
-            yield out[::-1]
+            out.reverse()
+            yield out
+
+    def _extend_best(self, word: str, score: list[float], last: list[int], begin: list[int]) -> None:
+        """States behind the prefixes without one, by the best sum of scores."""
+        ending, scores = self._ending.get, self.scores
+        for i in range(len(score), len(word) + 1):
+            best, piece, at, j = None, -1, i - 1, i - 1
+            while j >= 0 and (own := ending(word[j:i])) is not None:
+                if own >= 0 and (best is None or score[j] + scores[own] > best):
+                    best, piece, at = score[j] + scores[own], own, j
+                j -= 1
+            if word[i - 1] not in self.ids and (best is None or score[i - 1] + self.floor > best):
+                best, piece, at = score[i - 1] + self.floor, -1, i - 1
+            score.append(best)
+            last.append(piece)
+            begin.append(at)
+
+    def _extend_merged(self, word: str, score: list[float], last: list[int], begin: list[int]) -> None:
+        """States behind the prefixes without one, by the only piece that merging leaves there."""
+        ending, known, width = self._ending.get, self._fits, len(self.names) + 1
+        for i in range(len(last), len(word) + 1):
+            there, j = [], i - 1
+            own = ending(word[j:i])
+            while own is not None:
+                if own >= 0:
+                    there.append((j, own))
+                if not j:
+                    break
+                j -= 1
+                own = ending(word[j:i])
+            piece, at = -1, i - 1  # an unknown character stands alone
+            while there:
+                j, own = there.pop()
+                key = (last[j] + 1) * width + own
+                fit = known.get(key)
+                if fit is None:
+                    fit = known[key] = self.fits(last[j], own)
+                if fit:
+                    piece, at = own, j
+                    break
+            last.append(piece)
+            begin.append(at)
+        score.extend([0.0] * (len(last) - len(score)))
 
     def _unknown(self, c: str) -> list[int]:
         """An unknown character as its bytes, or as the unknown piece where there are none for bytes."""
@@ -189,10 +221,10 @@ class _Encoder:
         if new:
             found = list(self.pieces.cuts(new))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for own in found for i in own), np.int32)])
+            self.flat = np.concatenate([self.flat, np.array([i for own in found for i in own], np.int32)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(own) for own in found])])
         known = self.known
-        at = np.fromiter((known[w] for own in words for w in own), np.int64)
+        at = np.array([known[w] for own in words for w in own], np.int64)
         sizes = self.bounds[at + 1] - self.bounds[at] if len(at) else at
         ends = np.cumsum(sizes)
         spread = np.repeat(self.bounds[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0) if len(at) else at
@@ -200,9 +232,20 @@ class _Encoder:
         return self.flat[spread], np.concatenate([[0], ends])[per_text]
 
 
-def _encode(pieces, names: list[str]):
+_encoders: dict[str, _Encoder] = {}
+
+
+def _encoder(pieces, digest: str) -> _Encoder:
+    """The encoder of a vocabulary in this worker, kept for the worker's next task."""
+    if digest not in _encoders:
+        _encoders.clear()
+        _encoders[digest] = _Encoder(pieces.value)
+    return _encoders[digest]
+
+
+def _encode(pieces, digest: str, names: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(pieces.value)
+        encoder = _encoder(pieces, digest)
         for batch in text.chunks(batches):
             ids, bounds = encoder.ids(batch.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
@@ -226,7 +269,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary has a fixed size
     rest = docs.drop("token_ids")
     schema = StructType([*rest.schema.fields, StructField("token_ids", ArrayType(IntegerType(), False), False)])
-    return rest.mapInArrow(_encode(shared, rest.columns), schema)
+    return rest.mapInArrow(_encode(shared, pieces.digest(), rest.columns), schema)
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "token_ids") -> DataFrame:
