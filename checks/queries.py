@@ -429,7 +429,7 @@ QUERIES: dict[str, Query] = {
     "pps_episode_split": Query(lambda s: s.split, "pps_split", f"{LINE} starts:b episode"),
     "pps_drop_long_episodes": Query(lambda s: s.short, "pps_short", f"{LINE} episode"),
     "pps_demographic_filter": Query(
-        lambda s: cohort.with_women(s.records, s.tables.person, s.p), "pps_women", RECORD),
+        lambda s: cohort.only_women(s.records, s.tables.person, s.p), "pps_women", RECORD),
     "pps_frequency_filter": Query(lambda s: pps.drop_frequent_persons(cut(s.short), s.p), "pps_kept", f"{LINE} episode"),
     "pps_episode_events": Query(lambda s: s.pps_records, "pps_kept", f"{RECORD} min_month:f max_month:f episode"),
     "pps_episodes": Query(lambda s: s.pps_bounds, "pps_bounds", f"{BOUNDS} episode_max_date_plus_two_months:d"),

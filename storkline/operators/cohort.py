@@ -42,6 +42,11 @@ def with_women(df: DataFrame, person: DataFrame, p: Params) -> DataFrame:
     return df.repartition("person_id").join(women(person, p), "person_id")
 
 
+def only_women(df: DataFrame, person: DataFrame, p: Params) -> DataFrame:
+    """The rows of those women. A plain filter: large persons are left to Spark's skew handling."""
+    return df.join(women(person, p).select("person_id"), "person_id", "left_semi")
+
+
 def initial_cohort(event: DataFrame, codes: DataFrame, person: DataFrame, p: Params) -> DataFrame:
     """Distinct coded events of the cohort. Values do not bound a person's rows here, so the join
     is left to Spark's skew handling."""
