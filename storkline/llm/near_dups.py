@@ -96,7 +96,8 @@ def _apart(lists: DataFrame, found: DataFrame) -> DataFrame:
     own = lists.join(label, "rep", "left").withColumn("part", F.coalesce("label", "rep")).drop("label")
     parts = own.groupBy("value", "part").agg(F.count("*").alias("n"))
     main = parts.groupBy("value").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("n")).filter("n > 1")
-    return cut(own.join(main.select("value", F.col("most.part").alias("main")), "value"))
+    # written, so that the join stands alone and a long list can be split among tasks
+    return cut(own.join(cut(main.select("value", F.col("most.part").alias("main"))), "value"))
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -127,8 +128,9 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     sketches = classes.select("rep", F.least("n_shingles", F.lit(k)).alias("size"), F.col("sketch").alias("members"))
     lists = _lists(sketches, F.least(bound, F.ceil(F.col("size") * percent / 100)))
     pivot = F.max(F.struct("weight", (-F.col("rep")).alias("back")))
-    pivots = lists.groupBy("value").agg(F.count("*").alias("n"), pivot.alias("p")).filter("n > 1")
-    lists = cut(lists.join(pivots, "value").select("value", "rep", "weight", (-F.col("p.back")).alias("pivot")))
+    lists = cut(lists)
+    pivots = cut(lists.groupBy("value").agg(F.count("*").alias("n"), pivot.alias("p")).filter("n > 1").select("value", (-F.col("p.back")).alias("pivot")))
+    lists = cut(lists.join(pivots, "value").select("value", "rep", "weight", "pivot"))
     members = lists.select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.select("doc_id", "text").join(members.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_full_sets(width), _SETS)
     sets = cut(sets).dropDuplicates(["doc_id"])
@@ -145,7 +147,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
 
     settle(lists.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
     mixed = _apart(lists.drop("pivot"), found)
-    second = mixed.filter("part <> main").groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"), "part")).alias("p"))
+    second = cut(mixed.filter("part <> main").groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"), "part")).alias("p")))
     settle(mixed.join(second, "value").filter("part <> p.part").select((-F.col("p.back")).alias("a"), F.col("rep").alias("b")))
 
     left = _apart(lists.drop("pivot"), found).select(F.col("rep").alias("doc_id")).distinct()
