@@ -35,7 +35,8 @@ def points(docs: DataFrame, leaves: int) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
     ))
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    groups = rows.groupBy("copy").agg(F.sum("bytes").alias("all"), F.min("lang").alias("lang"), F.min("source").alias("source"))
+    # written, so that the join stands alone and a large group of copies can be split among tasks
+    groups = cut(rows.groupBy("copy").agg(F.sum("bytes").alias("all"), F.min("lang").alias("lang"), F.min("source").alias("source")))
     names = 1 << COORDINATE_BITS
     place = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(names))
     large = F.col("all") > WHOLE * total / leaves
