@@ -38,7 +38,8 @@ def describe(pages: DataFrame) -> DataFrame:
     """
     measured = _payloads(pages).select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
     measured = cut(measured)
-    holders = measured.groupBy("digest").agg(F.max("page_id").alias("holder"))
+    # written, so that the join stands alone and the pages of a frequent payload can be split among tasks
+    holders = cut(measured.groupBy("digest").agg(F.max("page_id").alias("holder")))
     revisit = (F.col("n_bytes") >= REVISIT_BYTES) & F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     lines = F.concat_ws(
         "", F.lit(f"WARC/1.1{_END}"), _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
