@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -27,7 +28,9 @@ from storkline.llm import text
 
 MARK = "▁"
 #: words whose ids a worker remembers, from task to task; beyond that it starts anew
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: bytes of text whose new words are encoded in one walk
+BATCH_BYTES = 2 << 20
 _NORMAL, _UNKNOWN, _BYTE, _UNIGRAM, _MERGES = 1, 2, 6, 1, 2
 
 
@@ -60,6 +63,7 @@ class Pieces:
     _fits: dict[int, bool] = field(default_factory=dict)
     #: endings of pieces and the ids of those that are pieces themselves, else -1
     _ending: dict[str, int] = field(default_factory=dict)
+    _bytes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def __post_init__(self) -> None:
         for name in self.ids:
@@ -170,13 +174,36 @@ class Pieces:
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes are gathered into characters, marks become spaces, and the one in
         front goes."""
-        if not hasattr(self, "_texts"):
-            self._texts = [n.encode() for n in self.names]
+        return self.texts(np.fromiter(ids, np.int64), np.array([0, -1]))[0].as_py()
+
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of lists of ids, all at once; bounds as of lists, -1 for the end."""
+        flat, begins, sizes = self._table()
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(sizes):
+            raise ValueError("there is no piece of such an id")
+        ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+        data = flat[np.repeat(begins[ids] - ends[:-1], sizes[ids]) + np.arange(ends[-1])]
+        bounds = ends[bounds]
+        heads = bounds[:-1][bounds[:-1] < bounds[1:]]
+        heads = heads[data[heads] == 0x20]
+        keep = np.ones(len(data), bool)
+        keep[heads] = False
+        data = data[keep]
+        bounds = bounds - np.searchsorted(heads, bounds)
+        whole = data.tobytes()
+        parts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return pa.array(parts, pa.string())
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all pieces, and where each begins and how many it has."""
+        if self._bytes is None:
+            own = [n.replace(MARK, " ").encode() for n in self.names]
             for b, i in enumerate(self.byte_ids):
-                self._texts[i] = bytes([b])
-            self._texts[self.unknown] = " ⁇ ".encode()
-        whole = b"".join([self._texts[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-        return whole[1:] if whole[:1] == " " else whole
+                own[i] = bytes([b])
+            own[self.unknown] = " ⁇ ".encode()
+            sizes = np.array([len(x) for x in own], np.int64)
+            self._bytes = np.frombuffer(b"".join(own), np.uint8), np.cumsum(sizes) - sizes, sizes
+        return self._bytes
 
 
 def read_pieces(path: str) -> Pieces:
@@ -200,6 +227,19 @@ def read_pieces(path: str) -> Pieces:
     )
 
 
+class _Numbers(dict):
+    """Numbers of marked words in the order in which they were first asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+
 class _Encoder:
     """Ids of marked words in one growing array."""
 
@@ -208,28 +248,35 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.bounds = np.zeros(1, np.int64)
+        self.known = _Numbers()
+        self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Encode the words that came up since the last time, all in one walk."""
+        new, self.known.new = self.known.new, []
+        order = sorted(range(len(new)), key=new.__getitem__)
+        found: list[int] = []
+        sizes, begins = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        for k, own in zip(order, self.pieces.cuts([new[k] for k in order]), strict=True):
+            begins[k] = len(found)
+            found += own
+            sizes[k] = len(own)
+        self.begins = np.concatenate([self.begins, begins + len(self.flat)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.array(found, np.int32)])
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the n + 1 bounds of each."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        words = [self.pieces.marked(t or "") for t in texts]
-        new = sorted({w for own in words for w in own}.difference(self.known))
-        if new:
-            found = list(self.pieces.cuts(new))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, np.array([i for own in found for i in own], np.int32)])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(own) for own in found])])
-        known = self.known
-        at = np.array([known[w] for own in words for w in own], np.int64)
-        sizes = self.bounds[at + 1] - self.bounds[at] if len(at) else at
-        ends = np.cumsum(sizes)
-        spread = np.repeat(self.bounds[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0) if len(at) else at
-        per_text = np.cumsum([0, *map(len, words)])
-        return self.flat[spread], np.concatenate([[0], ends])[per_text]
+        known, marked = self.known, self.pieces.marked
+        words = [np.array([known[w] for w in marked(t or "")], np.int64) for t in texts]
+        self._learn()
+        at = np.concatenate([*words, np.zeros(0, np.int64)])
+        sizes = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        spread = np.repeat(self.begins[at] - ends[:-1], sizes) + np.arange(ends[-1])
+        return self.flat[spread], ends[np.cumsum([0, *map(len, words)])]
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -246,7 +293,7 @@ def _encoder(pieces, digest: str) -> _Encoder:
 def _encode(pieces, digest: str, names: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(pieces, digest)
-        for batch in text.chunks(batches):
+        for batch in text.chunks(batches, limit=BATCH_BYTES):
             ids, bounds = encoder.ids(batch.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists], [*names, "token_ids"])
@@ -258,8 +305,11 @@ def _decode(pieces, names: list[str], ids: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [None if own is None else pieces.value.decode(own) for own in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, "decoded"])
+                lists = part.column(ids)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                found = pieces.value.texts(lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]))
+                found = pc.if_else(lists.is_valid(), found, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), found], [*names, "decoded"])
     return run
 
 

@@ -61,6 +61,18 @@ def test_remembered_words_are_bounded(vocabulary, documents, monkeypatch):
     assert [i for t in texts for i in small.ids([t])[0].tolist()] == together
 
 
+def test_decoding_any_ids(vocabulary):
+    library = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    pick = random.Random(7)
+    for _ in range(300):
+        ids = [pick.randrange(3, 32000) if pick.random() < 0.6 else pick.randrange(3, 259) for _ in range(pick.randrange(0, 12))]
+        if not any(i in vocabulary.byte_ids for i in ids):
+            assert vocabulary.decode(ids) == library.decode(ids)
+        vocabulary.decode(ids)  # broken characters are replaced
+    with pytest.raises(ValueError):
+        vocabulary.decode([32000])
+
+
 def test_query_and_odd_rows(spark, odd, nothing, vocabulary):
     out = op6_sentencepiece_shared_prefix(spark, "/root/testdata/sf0.001")
     assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
