@@ -132,8 +132,8 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     pivots = cut(lists.groupBy("value").agg(F.count("*").alias("n"), pivot.alias("p")).filter("n > 1").select("value", (-F.col("p.back")).alias("pivot")))
     lists = cut(lists.join(pivots, "value").select("value", "rep", "weight", "pivot"))
     members = lists.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(members.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_full_sets(width), _SETS)
-    sets = cut(sets).dropDuplicates(["doc_id"])
+    asked = docs.select("doc_id", "text").join(members.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = cut(asked.mapInArrow(_full_sets(width), _SETS))
 
     tried, found = None, None
 
