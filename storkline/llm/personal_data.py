@@ -221,7 +221,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """A tagger from at most `sample` documents with digits or `@`, half of them with a likely span."""
     plain = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]")).filter(F.length("text") < 20_000)
     likely = F.col("text").rlike(r"@|[0-9]{12}|[0-9]+\.[0-9]+\.[0-9]|\+[0-9]")
-    rows = [r.text for part in (plain.filter(likely), plain.filter(~likely)) for r in part.orderBy(F.xxhash64("text"), "text").limit(sample // 2).collect()]
+    rows: list[str] = []
+    for part in (plain.filter(likely), plain.filter(~likely)):
+        hashed = part.withColumn("hash", F.xxhash64("text"))
+        first = hashed.select("hash").distinct().orderBy("hash").limit(sample // 2)
+        last = first.agg(F.max("hash")).first()[0]  # texts travel only once the hashes are chosen
+        if last is not None:
+            chosen = hashed.filter(F.col("hash") <= last).select("hash", "text").distinct()
+            rows += [r.text for r in sorted(chosen.collect(), key=lambda r: (r.hash, r.text))]
     return fit(rows)
 
 
