@@ -6,6 +6,11 @@ Spark counts the n-grams of all texts. The model is kept as sorted arrays of n-g
 of the symbols) with log probabilities and back-off weights; a task spreads them once into a table.
 A document is rejected if its perplexity lies outside the band of its language, which is set from the
 quartiles of all documents of that language that pass the fixed rules.
+
+Symbols say little about words and nothing about most scripts. So a second model over word bigrams
+(`word_order`), which grows with the corpus, scores every text as well: a document is also rejected if
+its word perplexity lies above the band of its language, or if its bigrams gain far less over single
+words than those of its language do, as shuffled words and gibberish of any script.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from storkline.llm import statistics, text
+from storkline.llm import statistics, text, word_order
 from storkline.session import cut
 
 ORDER, BITS = 4, 5
@@ -27,6 +32,9 @@ FENCE = 3.0
 #: words at which the distance allowed beyond the quartiles has grown by the square root of 2
 SHORT = 100
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+RATED = {"doc_id": "long", "lang": "string", **dict.fromkeys(COUNTS, "long"), "log_perplexity": "double"}
+#: a text has word order if its bigrams gain this share of what the lowest quarter of its language gains at most
+ORDER_SHARE = 0.25
 
 
 def _symbol(byte: int) -> int:
@@ -98,9 +106,9 @@ class Model:
         return lower.astype(np.float32)
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts of the counts 0, 1, 2, and 3 or more; fixed ones where too few counts are that low."""
-    n = [np.count_nonzero(counts == k) for k in range(1, 5)]
+def _discounts(n: list[int]) -> np.ndarray:
+    """Discounts of the counts 0, 1, 2, and 3 or more, by how many counts are 1, 2, 3 and 4; fixed ones
+    where too few counts are that low."""
     if not all(n):
         return np.array([0, 0.5, 0.75, 0.9])
     y = n[0] / (n[0] + 2 * n[1])
@@ -118,7 +126,7 @@ def fit(seen: np.ndarray, counts: np.ndarray) -> Model:
     lower = np.full(SYMBOLS, 1 / SYMBOLS)
     for n in range(1, ORDER + 1):
         keys, c = level[n]
-        cut_off = _discounts(c)[np.minimum(c, 3).astype(int)]
+        cut_off = _discounts([np.count_nonzero(c == k) for k in range(1, 5)])[np.minimum(c, 3).astype(int)]
         contexts = keys >> BITS
         size = SYMBOLS ** (n - 1)
         total, freed = np.bincount(contexts, c, size), np.bincount(contexts, cut_off, size)
@@ -147,16 +155,17 @@ def _rate(model):
             sums = np.zeros(len(codes) + 1)
             np.cumsum(table[codes], dtype=np.float64, out=sums[1:])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), *(pa.array(found[name], pa.int64()) for name in COUNTS),
+                [batch.column("text"), batch.column("fold"), batch.column("doc_id"), batch.column("lang"), *(pa.array(found[name], pa.int64()) for name in COUNTS),
                  pa.array(-(sums[ends] - sums[begins]) / (ends - begins), pa.float64())],
-                ["doc_id", "lang", *COUNTS, "log_perplexity"],
+                ["text", "fold", *RATED],
             )
     return run
 
 
 def rate(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     """One row per row of `docs`: `doc_id`, the counts in COUNTS, `base_failed`, `perplexity` (per
-    symbol), the band `low` to `high` of its language (for long texts; wider for short ones), and `kept`.
+    symbol), the band `low` to `high` of its language (for long texts; wider for short ones),
+    `word_perplexity` (per word) with its bound `word_high`, `order_gain` with its bound `order_low`, and `kept`.
 
     A null text counts as empty: no words, so it fails the base rules. Rows without a language are
     one language. In a language where no document passes the base rules no band is set, and none is
@@ -165,19 +174,34 @@ def rate(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     spark = docs.sparkSession
     found = count(docs).toPandas()  # at most SYMBOLS ** ORDER rows
     model = spark.sparkContext.broadcast(fit(found["gram"].to_numpy(), found["n"].to_numpy()))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    own = F.col("text").cast("string")
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), own.alias("text"), F.col("lang").cast("string").alias("lang"),
+        (F.crc32(F.coalesce(own, F.lit(""))) % 2).cast("int").alias("fold"),
+    )
+    measured = plain.mapInArrow(_rate(model), "text string, fold int, " + ", ".join(f"{c} {kind}" for c, kind in RATED.items()))
     rated = cut(
-        plain.mapInArrow(_rate(model), ", ".join(["doc_id long", "lang string", *(f"{name} long" for name in COUNTS), "log_perplexity double"]))
+        word_order.score(measured, RATED, _discounts)
         .withColumn("lang", F.coalesce("lang", F.lit("")))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     )
-    quartiles = rated.filter("not base_failed").groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
-    reach = fence * (F.col("q")[1] - F.col("q")[0])
-    bands = cut(quartiles.select("lang", reach.alias("reach"), (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high")))
+    passing = rated.filter("not base_failed").groupBy("lang")
+    quartiles = passing.agg(
+        F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"), F.percentile_approx("word_log_perplexity", [0.25, 0.75], 10_000).alias("w"),
+        F.percentile_approx("order_gain", 0.25, 10_000).alias("g"),
+    )
+    reach, word_reach = fence * (F.col("q")[1] - F.col("q")[0]), fence * (F.col("w")[1] - F.col("w")[0])
+    bands = cut(quartiles.select(
+        "lang", reach.alias("reach"), (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"),
+        word_reach.alias("word_reach"), (F.col("w")[1] + word_reach).alias("word_high"), (ORDER_SHARE * F.col("g")).alias("order_low"),
+    ))
     # the mean over a short text scatters more
-    slack = F.col("reach") * (F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1))) - 1)
+    wider = F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
+    slack, word_slack = F.col("reach") * (wider - 1), F.col("word_reach") * (wider - 1)
     inside = F.col("log_perplexity").between(F.col("low") - slack, F.col("high") + slack)
+    inside &= (F.col("word_log_perplexity") <= F.col("word_high") + word_slack) & (F.col("order_gain") >= F.col("order_low") / wider)
     return rated.join(bands, "lang", "left").select(
         "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"),
         F.pow(F.lit(10.0), "log_perplexity").alias("perplexity"), F.pow(F.lit(10.0), "low").alias("low"), F.pow(F.lit(10.0), "high").alias("high"),
+        F.pow(F.lit(10.0), "word_log_perplexity").alias("word_perplexity"), F.pow(F.lit(10.0), "word_high").alias("word_high"), "order_gain", "order_low",
     )
