@@ -5,8 +5,9 @@
 2. In every text, each window of as many words as an item has is weighed against the shingles of the
    items of that size: a window less than `PERCENT` of whose weight lies in such shingles cannot be
    that similar to any item. The shingles are looked up in bit tables of a fixed size, whose false
-   hits only let more windows through. The other windows get a SimHash.
-3. A multi-index finds every item of the same size within `RADIUS` bits: the fingerprints are cut into
+   hits only let more windows through. The other windows get a SimHash. A text shorter than an item
+   is one window for the items of that size, if its weight is near enough to any of theirs.
+3. A multi-index finds every item of the window's item size within `RADIUS` bits: the fingerprints are cut into
    blocks, so two within the radius differ by at most `ERRORS` bits in some block, and the index holds
    each item under all block values that near.
 4. The exact weighted similarity of the shingles settles each pair found.
@@ -33,7 +34,7 @@ TABLE_BITS = 24
 _SLICE = 4096
 
 _ITEMS = "item_id long, n_words int, print long, shingles array<long>, weights array<int>"
-_WINDOWS = "doc_id long, start int, n_words int, print long, shingles array<long>, weights array<int>"
+_WINDOWS = "doc_id long, start int, n_words int, item_words int, print long, shingles array<long>, weights array<int>"
 
 
 def _shingled(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +93,8 @@ def _item_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(known):
     """Windows of the texts that may reach the similarity, with their fingerprints."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sizes, least = known.value
+        table, sizes, lightest, heaviest = known.value
+        least = lightest.min() if len(sizes) else 1
         lookup = np.unpackbits(table, bitorder="little").view(bool)
         for batch in text.chunks(batches):
             every, weights, bounds = _shingled(batch.column("text"))
@@ -112,16 +114,22 @@ def _windows(known):
                     own = np.concatenate([[0], np.cumsum(np.where(lookup[_slots(g, size)], w, 0))])
                     at = np.flatnonzero(100 * (own[m:] - own[:-m]) >= PERCENT * (total[m:] - total[:-m]))
                     if len(at):
-                        found.append((i, size, at, _prints(g, w, at, at + m), g, w))
+                        found.append((i, size, size, at, _prints(g, w, at, at + m), g, w))
+                # a shorter text as a whole: the similarity bounds the ratio of the weights
+                whole, words = total[-1], len(g) + WIDTH - 1
+                for size in sizes[(sizes > words) & (PERCENT * lightest <= 100 * whole) & (PERCENT * whole <= 100 * heaviest)]:
+                    if 100 * w[lookup[_slots(g, size)]].sum() >= PERCENT * whole:
+                        at = np.zeros(1, np.int64)
+                        found.append((i, words, size, at, _prints(g, w, at, at + len(g)), g, w))
             ids = batch.column("doc_id").to_pylist()
-            rows = [(i, size, s, p, g[s:s + size - WIDTH + 1], w[s:s + size - WIDTH + 1]) for i, size, at, prints, g, w in found for s, p in zip(at, prints, strict=True)]
+            rows = [(i, n, s, p, g[s:s + n - WIDTH + 1], w[s:s + n - WIDTH + 1], size) for i, n, size, at, prints, g, w in found for s, p in zip(at, prints, strict=True)]
             for k in range(0, len(rows), 2000):
                 part = list(zip(*rows[k:k + 2000], strict=True))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[i] for i in part[0]], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[1], pa.int32()),
+                    pa.array([ids[i] for i in part[0]], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[6], pa.int32()),
                     pa.array(np.array(part[3], np.uint64).view(np.int64)), pa.array([g.view(np.int64) for g in part[4]], pa.list_(pa.int64())),
                     pa.array([w.astype(np.int32) for w in part[5]], pa.list_(pa.int32())),
-                ], ["doc_id", "start", "n_words", "print", "shingles", "weights"])
+                ], ["doc_id", "start", "n_words", "item_words", "print", "shingles", "weights"])
     return run
 
 
@@ -162,7 +170,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     `distance` (bits of the fingerprints), `start` and `n_words` of the best window (the first of
     equals), words counted from 0.
 
-    Words are runs of letters and digits in lower case. An item or text of fewer than five words, or
+    A window has as many words as the item, or is the whole text where that is shorter. Words are runs
+    of letters and digits in lower case. An item or text of fewer than five words, or
     a null one, matches nothing. Rows without doc_id or item_id are not searched. Of rows that
     repeat a doc_id or item_id the best match counts; other columns are ignored.
     """
@@ -172,12 +181,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), lower).filter("item_id is not null")
         .mapInArrow(_read_items, _ITEMS)
     )
-    shape = items.groupBy("n_words").agg(F.min(F.aggregate("weights", F.lit(0), lambda a, w: a + w)).alias("least")).toPandas()
+    weight = F.aggregate("weights", F.lit(0), lambda a, w: a + w)
+    shape = items.groupBy("n_words").agg(F.min(weight).alias("least"), F.max(weight).alias("most")).toPandas().sort_values("n_words")
     slots = items.select("n_words", "shingles").mapInArrow(_item_slots, "slot int").distinct().toPandas()["slot"].to_numpy()
     flags = np.zeros(1 << TABLE_BITS, np.uint8)
     flags[slots] = 1
-    least = int(shape["least"].min()) if len(shape) else 1
-    known = spark.sparkContext.broadcast((np.packbits(flags, bitorder="little"), np.sort(shape["n_words"].to_numpy()), least))
+    known = spark.sparkContext.broadcast((np.packbits(flags, bitorder="little"), *(shape[c].to_numpy() for c in ("n_words", "least", "most"))))
 
     windows = cut(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower).filter("doc_id is not null")
@@ -185,15 +194,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     blocks = range(len(BLOCKS))
     pieces = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _block("print", i).alias("v")) for i in blocks)))
-    left = windows.select("window", "n_words", "print", pieces.alias("block"))
+    left = windows.select("window", "item_words", "print", pieces.alias("block"))
     near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(_near(BLOCKS[i])).alias("masks"), _block("print", i).alias("v")) for i in blocks)))
-    right = items.select("item_id", "n_words", F.col("print").alias("item_print"), near.alias("x"))
-    right = right.select("item_id", "n_words", "item_print", "x.i", "x.v", F.explode("x.masks").alias("mask"))
-    right = right.select("item_id", "n_words", "item_print", F.struct("i", F.col("v").bitwiseXOR(F.col("mask")).alias("v")).alias("block"))
+    right = items.select("item_id", F.col("n_words").alias("item_words"), F.col("print").alias("item_print"), near.alias("x"))
+    right = right.select("item_id", "item_words", "item_print", "x.i", "x.v", F.explode("x.masks").alias("mask"))
+    right = right.select("item_id", "item_words", "item_print", F.struct("i", F.col("v").bitwiseXOR(F.col("mask")).alias("v")).alias("block"))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    pairs = left.join(right, ["n_words", "block"]).select("window", "item_id", distance.alias("distance")).filter(F.col("distance") <= RADIUS).distinct()
-    own = items.select("item_id", F.col("n_words").alias("item_words"), F.col("shingles").alias("item_shingles"), F.col("weights").alias("item_weights"))
-    both = pairs.join(windows, "window").join(own, "item_id").filter("item_words = n_words")
+    pairs = left.join(right, ["item_words", "block"]).select("window", "item_id", distance.alias("distance")).filter(F.col("distance") <= RADIUS).distinct()
+    own = items.select("item_id", F.col("n_words").alias("own_words"), F.col("shingles").alias("item_shingles"), F.col("weights").alias("item_weights"))
+    both = pairs.join(windows, "window").join(own, "item_id").filter("own_words = item_words")
     settled = both.select("doc_id", "item_id", "start", "n_words", "distance", "shingles", "weights", "item_shingles", "item_weights").mapInArrow(
         _settle, "doc_id long, item_id long, start int, n_words int, distance int, similarity double"
     )

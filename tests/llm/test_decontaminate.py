@@ -90,3 +90,23 @@ def test_odd_rows(spark, odd, nothing):
     assert found == {(5, 3), (6, 3), (7, 4)}
     assert drop_leaks(odd, items).count() == odd.count() - 4 and drop_leaks(odd, items).columns == odd.columns
     assert find_leaks(nothing, items).count() == 0 and find_leaks(odd, items.limit(0)).count() == 0
+
+
+def test_texts_shorter_than_the_item(spark):
+    word = lambda: "".join(NEW.choices("abcdefghij", k=NEW.randrange(2, 14)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([6, 9, 15, 40, 40, 41, 60, 120])]
+    docs = []
+    for i, x in items:
+        own = x.split()
+        docs += [(100 * i + k, " ".join(own[a:len(own) - k + a])) for k in range(1, min(len(own), 30)) for a in [NEW.randrange(k + 1)]]
+        docs += [(100 * i + 50 + k, " ".join(own[:3] + own[3 + k:-1])) for k in range(4)]
+    out = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = {}
+    for d, t in docs:
+        for i, x in items:
+            w, own = words(t), words(x)
+            if 5 <= len(w) < len(own) and similarity(weighted(w), weighted(own)) >= 0.8:
+                expected[d, i] = (pytest.approx(similarity(weighted(w), weighted(own))), 0, len(w))
+    short = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_words) for r in out}
+    assert len(expected) >= 20 and short == expected
+    assert drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == len(docs) - len({d for d, _ in expected})
