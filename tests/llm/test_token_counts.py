@@ -100,3 +100,21 @@ def test_odd_rows(spark, odd, nothing):
     rows = count(odd, RANKS, "v1").collect()
     assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
     assert count(nothing, RANKS, "v1").count() == 0
+
+
+def test_query_runs_every_kind_of_change_over_the_whole_table(spark, monkeypatch):
+    from storkline.llm import queries
+
+    made = {}
+    for kind in ("deletes", "revisions"):
+        def spy(self, *a, own=getattr(Rollup, kind), kind=kind):
+            change = own(self, *a)
+            made[kind] = made.get(kind, 0) + change.filter("n_docs < 0").select("doc_id").distinct().count()
+            return change
+        monkeypatch.setattr(Rollup, kind, spy)
+    out = queries.op1_delta_token_rollup(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n = docs.count()
+    assert made["revisions"] == n and n < made["deletes"] < 2 * n
+    sums = count(docs, token_counts.read_ranks(queries.RANKS), "byte_bpe_50k").groupBy(*token_counts.KEYS).agg(*(token_counts.F.sum(c) for c in token_counts.AMOUNTS))
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, map(tuple, sums.collect())))
