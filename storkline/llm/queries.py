@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from storkline.llm import interpolation, kd_shards, perplexity, personal_data, pieces, rule_ensemble, token_counts, warc
 from storkline.llm.decontaminate import find_leaks
+from storkline.llm.fill_middle import rearrange, restored
 from storkline.llm.near_dups import near_duplicates
 from storkline.session import cut, stage_path
 
@@ -88,10 +89,20 @@ def op10_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame
     return perplexity.rate(_table(spark, sf_dir, "documents"))
 
 
+def op13_skip_list_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at two lines and put together anew, with digests of that and of the text rebuilt from it."""
+    out = rearrange(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_delta_token_rollup, op2_simhash_decontamination, op3_kd_tree_shards, op4_deleted_interpolation, op5_bilstm_crf_pii, op6_sentencepiece_shared_prefix,
         op7_content_addressed_warc, op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules,
+        op13_skip_list_fill_middle,
     )
 }
 
@@ -119,4 +130,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) USING (doc_id)
     """,
+    "op13_skip_list_fill_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS lines,
+                     list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS UBIGINT)) AS k FROM d),
+        c AS (SELECT *, len(lines) AS n, least(k[1] % (len(lines) + 1), k[2] % (len(lines) + 1)) AS a,
+                     greatest(k[1] % (len(lines) + 1), k[2] % (len(lines) + 1)) AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 100 THEN 'plain'
+                          WHEN k[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT doc_id, n, form, t, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+                     array_to_string(lines[b + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
