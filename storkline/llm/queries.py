@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from storkline.llm import interpolation, kd_shards, perplexity, personal_data, pieces, rule_ensemble, token_counts, warc
+from storkline.llm.alignment import align, read_vocabularies
 from storkline.llm.decontaminate import find_leaks
 from storkline.llm.fill_middle import rearrange, restored
 from storkline.llm.near_dups import near_duplicates
 from storkline.session import cut, stage_path
 
-#: a SentencePiece model file and a rank file; read by the driver, their contents go to the tasks
+#: a SentencePiece model file, a rank file and a tokenizer file; read by the driver, their contents go to the tasks
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +91,11 @@ def op10_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame
     return perplexity.rate(_table(spark, sf_dir, "documents"))
 
 
+def op12_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of a byte-level and of a SentencePiece vocabulary lie over each other in every text."""
+    return align(_table(spark, sf_dir, "documents"), read_vocabularies(TOKENIZER, VOCABULARY))[0]
+
+
 def op13_skip_list_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut at two lines and put together anew, with digests of that and of the text rebuilt from it."""
     out = rearrange(_table(spark, sf_dir, "documents"))
@@ -102,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_delta_token_rollup, op2_simhash_decontamination, op3_kd_tree_shards, op4_deleted_interpolation, op5_bilstm_crf_pii, op6_sentencepiece_shared_prefix,
         op7_content_addressed_warc, op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules,
-        op13_skip_list_fill_middle,
+        op12_identity_map_alignment, op13_skip_list_fill_middle,
     )
 }
 
