@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -24,7 +25,8 @@ def build_session(app: str = "storkline", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-_written: list[tuple[SparkSession, str]] = []
+#: file system and path of each stage
+_written: list[tuple] = []
 
 
 def _stage_folder(spark: SparkSession) -> str:
@@ -45,7 +47,8 @@ def _stage_folder(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession) -> str:
     """A new path in the shared folder; what lies there goes when the driver ends."""
     path = f"{_stage_folder(spark)}/storkline/{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append((place.getFileSystem(spark._jsc.hadoopConfiguration()), place))
     return path
 
 
@@ -60,12 +63,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Like `cut`, with the rows of a key in one of so many buckets: joins and groupings by the key read
+    the stage where it lies, without a shuffle. Compressed by zstd, as such a stage is read often."""
+    spark, name = df.sparkSession, f"storkline_{uuid.uuid4().hex}"
+    stage = df.write.format("parquet").option("path", stage_path(spark)).option("compression", "zstd")
+    stage.bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 @atexit.register
 def remove_stages() -> None:
-    """Remove the stages written so far; frames that read them are void from then on."""
+    """Remove the stages written so far, of stopped sessions too; frames that read them are void then."""
     while _written:
-        spark, path = _written.pop()
-        context = spark.sparkContext
-        if context._jsc is not None and not context._jsc.sc().isStopped():
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        files, place = _written.pop()
+        try:
+            files.delete(place, True)
+        except (ConnectionError, Py4JError):  # the driver's JVM has ended before this process
+            return
