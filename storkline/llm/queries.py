@@ -11,6 +11,7 @@ from storkline.llm.alignment import align, read_vocabularies
 from storkline.llm.decontaminate import find_leaks
 from storkline.llm.fill_middle import rearrange, restored
 from storkline.llm.near_dups import near_duplicates
+from storkline.llm.repeats import remove_repeats
 from storkline.session import cut, stage_path
 
 #: a SentencePiece model file, a rank file and a tokenizer file; read by the driver, their contents go to the tasks
@@ -91,6 +92,14 @@ def op10_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame
     return perplexity.rate(_table(spark, sf_dir, "documents"))
 
 
+def op11_difference_cover_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without the bytes of strings of 100 bytes that start earlier."""
+    found = remove_repeats(_table(spark, sf_dir, "documents"), 100)
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op12_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of a byte-level and of a SentencePiece vocabulary lie over each other in every text."""
     return align(_table(spark, sf_dir, "documents"), read_vocabularies(TOKENIZER, VOCABULARY))[0]
@@ -109,7 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_delta_token_rollup, op2_simhash_decontamination, op3_kd_tree_shards, op4_deleted_interpolation, op5_bilstm_crf_pii, op6_sentencepiece_shared_prefix,
         op7_content_addressed_warc, op8_minhash_near_dedup, op9_rule_ensemble_quality, op10_kneser_ney_quality_rules,
-        op12_identity_map_alignment, op13_skip_list_fill_middle,
+        op11_difference_cover_repeats, op12_identity_map_alignment, op13_skip_list_fill_middle,
     )
 }
 
@@ -137,6 +146,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) USING (doc_id)
     """,
+    "op11_difference_cover_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS string FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2 - 99)) AS i FROM d WHERE strlen(h) >= 200)),
+        f AS (SELECT string, min(struct_pack(doc_id := doc_id, i := i)) AS first FROM s GROUP BY string HAVING count(*) > 1),
+        r AS (SELECT s.doc_id, s.i, lag(s.i) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS before
+              FROM s JOIN f ON s.string = f.string WHERE (s.doc_id, s.i) <> (f.first.doc_id, f.first.i)),
+        g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+        p AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run),
+        k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS begin FROM p),
+        t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+                     string_agg(substr(h, 2 * begin + 1, 2 * (a - begin)), '' ORDER BY a) AS kept
+              FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id)
+    """,
     "op13_skip_list_fill_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         u AS (SELECT *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS lines,
