@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storkline.config import OUTCOME_PRIORITY, OUTCOMES, Params
+from storkline.functions.intervals import join_days
 from storkline.functions.rows import birth_date, first_row
 
 EPISODE = ["person_id", "person_episode_number"]
@@ -51,13 +52,7 @@ def outcome_candidates(event: DataFrame, codes: DataFrame, windows: DataFrame) -
         .groupBy("person_id", "event_date", "concept_id", "concept_name", "category")
         .agg(F.count(F.lit(1)).alias("n_records"))
     )
-    spans = windows.select(*EPISODE, *WINDOW).withColumnRenamed("person_id", "_person")
-    return records.join(
-        spans,
-        (F.col("person_id") == F.col("_person"))
-        & (F.col("event_date") >= F.col("lookback_date"))
-        & (F.col("event_date") <= F.col("lookahead_date")),
-    ).drop("_person")
+    return join_days(records, "event_date", windows.select(*EPISODE, *WINDOW), "lookback_date", "lookahead_date")
 
 
 def outcome_entries(candidates: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storkline.config import Params
+from storkline.functions.intervals import join_days
 from storkline.functions.rows import first_row
 from storkline.operators.cohort import women
 
+# behind every position of a person
+LAST_POSITION = 2147483647
 RECORD = ["person_id", "event_date", "concept_id", "concept_name", "domain"]
 # order of a person's records; equal dates are settled by concept, then name and domain
 RECORD_ORDER = ["event_date", "concept_id", "concept_name", "domain"]
@@ -84,54 +87,96 @@ def undecided(p: Params) -> Column:
     return (gap_months > p.new_episode_months) & (gap_months <= p.split_months)
 
 
-def agreement(ordered: DataFrame, months: DataFrame, p: Params, asked_for: Column | None = None) -> DataFrame:
-    """For each record, or those asked for: does it fit any earlier record, or do two records the
-    same number of positions before and after it fit each other?
+def _widest_days(months: Column) -> Column:
+    """The most days whose thirtieth is at most so many months."""
+    near = F.floor(months * 30)
+    return F.when((near + 1) / 30 <= months, near + 1).when(near / 30 <= months, near).otherwise(near - 1).cast("int")
+
+
+def _fewest_days(months: Column) -> Column:
+    """The fewest days whose thirtieth is at least so many months."""
+    return -_widest_days(-months)
+
+
+RANGES = ["min_month", "max_month"]
+
+
+def fits_earlier(ordered: DataFrame, asked: DataFrame, months: DataFrame, p: Params) -> DataFrame:
+    """The asked records (person_id, position, event_date and month range) with ``fits``: does an earlier
+    record of the person fit them?
+
+    The code list has few different month ranges. For an asked record and each of them the fitting days
+    are one stretch, and what counts is whether the last record of that range up to the stretch's end
+    lies in it. All those questions and the records stand in one window by person and range, so the
+    rows are the records plus as many questions for each asked one as there are ranges.
+    """
+    known = month_lookup(months).select(*RANGES).filter("min_month is not null and max_month is not null").distinct()
+    ranges = known.agg(F.collect_set(F.struct(*RANGES)).alias("ranges")).scalar()
+    low, high = F.col("range.min_month"), F.col("range.max_month")
+    questions = (
+        asked.select("person_id", "position", "event_date", *RANGES)
+        .filter("min_month is not null and max_month is not null and event_date is not null")
+        .withColumn("range", F.explode(ranges))
+        .withColumn("first", F.date_sub("event_date", _widest_days((F.col("max_month") - low) + p.month_tolerance)))
+        .withColumn("last", F.date_sub("event_date", _fewest_days((F.col("min_month") - high) - p.month_tolerance)))
+        # of the record's own day only earlier positions count
+        .withColumn("before", F.when(F.col("last") >= F.col("event_date"), F.col("position")).otherwise(F.lit(LAST_POSITION)))
+        .withColumn("day", F.least("last", "event_date"))
+        .filter(F.col("first") <= F.col("day"))
+        .select("person_id", low.alias("min_month"), high.alias("max_month"), "day", "before", F.lit(0).alias("is_record"), "position", "first")
+    )
+    records = ordered.filter("event_date is not null").select(
+        "person_id", *RANGES, F.col("event_date").alias("day"), F.col("position").alias("before"), F.lit(1).alias("is_record"),
+        F.lit(None).cast("int").alias("position"), F.lit(None).cast("date").alias("first"),
+    )
+    w = Window.partitionBy("person_id", *RANGES).orderBy("day", "before", "is_record").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.max(F.when(F.col("is_record") == 1, F.col("day"))).over(w)
+    found = (
+        records.unionByName(questions).withColumn("latest", latest)
+        .filter((F.col("is_record") == 0) & (F.col("latest") >= F.col("first")))
+        .select("person_id", "position").distinct().withColumn("fits", F.lit(True))
+    )
+    return asked.join(found, ["person_id", "position"], "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
 
-    Two records further apart than the widest month range can never fit, so a record meets only
-    the person's records of those months. Asked for records after an undecided gap, which are
-    months apart, the work grows with the records, not with their square.
+
+def fits_around(ordered: DataFrame, asked: DataFrame, months: DataFrame, p: Params) -> DataFrame:
+    """Those of the asked records (with ``records``, the person's number of them) for which two records the
+    same number of positions before and after fit each other.
+
+    Such two are no further apart than the widest month range, so an asked record meets the records of
+    those months only.
     """
-    base = ["person_id", "position", "event_date", "min_month", "max_month"]
-    rows = ordered.select(*base)
-    asked = ordered.filter(F.lit(True) if asked_for is None else asked_for).select(*base, "records")
     reach = months.agg((F.max("max_month") - F.min("min_month") + p.month_tolerance).alias("reach")).scalar()
-    near = (
-        asked.alias("a")
-        .join(
-            rows.alias("e"),
-            (F.col("a.person_id") == F.col("e.person_id"))
-            & (F.col("e.position") < F.col("a.position"))
-            & (F.date_diff("a.event_date", "e.event_date") / 30 <= reach),
-        )
-        .select(
-            F.col("a.person_id").alias("person_id"),
-            F.col("a.position").alias("position"),
-            _fits("a", "e", p).alias("direct"),
-            F.col("e.event_date").alias("event_date"),
-            F.col("e.min_month").alias("min_month"),
-            F.col("e.max_month").alias("max_month"),
-            (2 * F.col("a.position") - F.col("e.position")).alias("mirror"),
-            F.col("a.records").alias("records"),
-        )
+    spans = asked.select(
+        "person_id", F.col("position").alias("asked"), "records", F.date_sub("event_date", _widest_days(reach)).alias("from_day"),
+        F.col("event_date").alias("to_day"),
     )
-    # a record that fits directly needs no mirror; positions past the last record have none
-    mirror = F.when(~F.col("direct") & (F.col("mirror") <= F.col("records")), F.col("mirror"))
-    bridged = (
-        near.withColumn("mirror", mirror).alias("e")
-        .join(
-            rows.alias("l"),
-            (F.col("e.person_id") == F.col("l.person_id")) & (F.col("e.mirror") == F.col("l.position")),
-            "left",
-        )
-        .select("e.person_id", "e.position",
-                (F.col("direct") | F.coalesce(_fits("l", "e", p), F.lit(False))).alias("fits"))
+    rows = ordered.select("person_id", "position", "event_date", *RANGES)
+    before = (
+        join_days(rows, "event_date", spans, "from_day", "to_day")
+        .withColumn("mirror", 2 * F.col("asked") - F.col("position"))
+        .filter((F.col("position") < F.col("asked")) & (F.col("mirror") <= F.col("records")))
     )
-    found = bridged.groupBy("person_id", "position").agg(F.max("fits").alias("fits"))
-    return (
-        asked.select("person_id", "position", "event_date")
-        .join(found, ["person_id", "position"], "left")
-        .select("person_id", "position", "event_date", F.coalesce("fits", F.lit(False)).alias("agrees"))
+    pairs = before.alias("e").join(
+        rows.alias("l"),
+        (F.col("e.person_id") == F.col("l.person_id")) & (F.col("e.mirror") == F.col("l.position")) & _fits("l", "e", p),
+    )
+    return pairs.select("e.person_id", F.col("e.asked").alias("position")).distinct()
+
+
+def agreement(ordered: DataFrame, months: DataFrame, p: Params, asked_for: Column | None = None) -> DataFrame:
+    """For each record, or those asked for: does it fit any earlier record, or do two records the
+    same number of positions before and after it fit each other?
+
+    Pairs are formed for records that fit no earlier one alone. Such a record has none of its own month
+    range within the months before it that the range allows, so a person has few, however many records.
+    """
+    asked = ordered.filter(F.lit(True) if asked_for is None else asked_for)
+    base = ["person_id", "position", "event_date", *RANGES, "records"]
+    direct = fits_earlier(ordered, asked.select(*base), months, p)
+    around = fits_around(ordered, direct.filter(~F.col("fits")), months, p).withColumn("_around", F.lit(True))
+    return direct.join(around, ["person_id", "position"], "left").select(
+        "person_id", "position", "event_date", (F.col("fits") | F.coalesce("_around", F.lit(False))).alias("agrees")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storkline.config import NO_OUTCOME, Params
+from storkline.functions.intervals import join_days
 from storkline.operators.prevalence import match_key
 
 CONCEPT = ["domain_concept_id", "domain_concept_name"]
@@ -30,16 +31,10 @@ def match_concepts(event: DataFrame, specific: DataFrame, p: Params) -> DataFram
 def in_episodes(records: DataFrame, episodes: DataFrame) -> DataFrame:
     """Records strictly between start and end of the person's episodes."""
     spans = episodes.select(
-        F.col("person_id").alias("_person"), "episode",
-        F.col("estimated_start_date").alias("start_date_of_pregnancy"), F.col("visit_date").alias("end_date"),
-        "category",
+        "person_id", "episode", F.col("estimated_start_date").alias("start_date_of_pregnancy"),
+        F.col("visit_date").alias("end_date"), "category",
     )
-    return records.join(
-        spans,
-        (F.col("person_id") == F.col("_person"))
-        & (F.col("domain_concept_start_date") > F.col("start_date_of_pregnancy"))
-        & (F.col("domain_concept_start_date") < F.col("end_date")),
-    ).drop("_person")
+    return join_days(records, "domain_concept_start_date", spans, "start_date_of_pregnancy", "end_date", closed=False)
 
 
 def episode_concepts(event: DataFrame, specific: DataFrame, episodes: DataFrame, p: Params) -> DataFrame:
@@ -60,15 +55,30 @@ def gestation_months(records: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def _month_stats(days: str, mean: str, stddev: str) -> list[Column]:
-    """Mean and sample deviation in months of whole days with multiplicity, from exact sums."""
-    n = F.sum(F.when(F.col(days).isNotNull(), F.col("n_records"))).cast("double")
-    s1 = F.sum(F.col(days) * F.col("n_records")).cast("double")
-    s2 = F.sum(F.col(days) * F.col(days) * F.col("n_records")).cast("double")
-    variance = F.try_divide(n * s2 - s1 * s1, n * (n - 1))
+#: sums of days and of their squares, with multiplicity: whole numbers, so partials add up exactly in any order
+MOMENTS = ["_n", "_s1", "_s2"]
+
+
+def month_moments(days: str) -> list[Column]:
+    """Number, sum and sum of squares of whole days with multiplicity, as MOMENTS."""
+    times = F.when(F.col(days).isNotNull(), F.col("n_records")).cast("decimal(19,0)")
+    day = F.col(days).cast("decimal(9,0)")
+    return [F.sum(x).cast("decimal(38,0)").alias(m) for m, x in zip(MOMENTS, (times, day * times, day * day * times), strict=True)]
+
+
+def add_moments() -> list[Column]:
+    """The moments of groups put together."""
+    return [F.sum(m).cast("decimal(38,0)").alias(m) for m in MOMENTS]
+
+
+def from_moments(mean: str, stddev: str) -> list[Column]:
+    """Mean and sample deviation in months. The difference that the variance rests on is taken in whole
+    numbers, so nothing cancels however many records there are."""
+    n, s1, s2 = (F.col(m) for m in MOMENTS)
+    spread = (n * s2 - s1 * s1).cast("double")
     return [
-        (F.try_divide(s1, n) / 30).alias(mean),
-        F.when(n > 1, F.sqrt(variance) / 30).alias(stddev),
+        (F.try_divide(s1.cast("double"), n.cast("double")) / 30).alias(mean),
+        F.when(n > 1, F.sqrt(F.try_divide(spread, n.cast("double") * (n - 1).cast("double"))) / 30).alias(stddev),
     ]
 
 
@@ -94,10 +104,9 @@ def stable_concepts(months: DataFrame, denied: DataFrame, p: Params) -> DataFram
         .select(*CONCEPT, "category", "n_records", "v.view", "v.view_days")
         .filter((F.col("view") != "LB_FT") | F.col("view_days").isNotNull())
         .groupBy("view", "category", *CONCEPT)
-        .agg(*_month_stats("view_days", "mean_month", "stddev_of_month"),
-             F.sum("n_records").cast("int").alias("num_appearances"))
+        .agg(*month_moments("view_days"), F.sum("n_records").cast("int").alias("num_appearances"))
         .join(shares, [*CONCEPT, "category"])
-        .select(*CONCEPT, F.col("view").alias("category"), "percent_episodes", "mean_month", "stddev_of_month",
+        .select(*CONCEPT, F.col("view").alias("category"), "percent_episodes", *from_moments("mean_month", "stddev_of_month"),
                 "num_appearances")
     )
     frequent = stats.filter(F.col("percent_episodes") > p.min_share)
@@ -126,8 +135,7 @@ def stable_concepts(months: DataFrame, denied: DataFrame, p: Params) -> DataFram
 def concept_summary(stable: DataFrame, months: DataFrame) -> DataFrame:
     """Overall month and persons of each stable concept, for review."""
     kept = stable.select(*CONCEPT).distinct()
-    rows = months.join(kept, CONCEPT)
-    return rows.groupBy(*CONCEPT).agg(
-        *_month_stats("days", "mean_gestation_month", "stddev_gestation_month"),
-        F.count_distinct("person_id").alias("distinct_patients"),
-    )
+    # first per concept and person, then per concept: persons are counted without a set of them in one place
+    persons = months.join(kept, CONCEPT).groupBy(*CONCEPT, "person_id").agg(*month_moments("days"))
+    sums = persons.groupBy(*CONCEPT).agg(*add_moments(), F.count("person_id").alias("distinct_patients"))
+    return sums.select(*CONCEPT, *from_moments("mean_gestation_month", "stddev_gestation_month"), "distinct_patients")
