@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storkline.config import Params
+from storkline.functions.intervals import join_days
 from storkline.functions.labels import precision_label
 from storkline.functions.rows import first_row
-from storkline.functions.spread import expand, intersect, overlap_counts, quantile, total
+from storkline.functions.spread import at_rank, by_value, intersect, overlap_counts, quantile, total
 from storkline.operators.pps import month_lookup
 
 WEEK_NAME = "gestation period,"  # fixed value, matched without case
@@ -36,15 +37,8 @@ def timing_records(event: DataFrame, timing: DataFrame, months: DataFrame) -> Da
 
 def in_episodes(records: DataFrame, episodes: DataFrame) -> DataFrame:
     """Records within the recorded dates of the person's episodes, both ends included."""
-    spans = episodes.select(
-        F.col("person_id").alias("_person"), "episode_number", "recorded_episode_start", "recorded_episode_end"
-    )
-    return records.join(
-        spans,
-        (F.col("person_id") == F.col("_person"))
-        & (F.col("event_date") >= F.col("recorded_episode_start"))
-        & (F.col("event_date") <= F.col("recorded_episode_end")),
-    ).drop("_person")
+    spans = episodes.select(*EPISODE, "recorded_episode_start", "recorded_episode_end")
+    return join_days(records, "event_date", spans, "recorded_episode_start", "recorded_episode_end")
 
 
 def week_value(records: DataFrame, p: Params) -> DataFrame:
@@ -158,7 +152,7 @@ def evidence_lists(evidence: DataFrame) -> DataFrame:
 def range_outliers(lists: DataFrame) -> DataFrame:
     """Ranges by falling number of overlaps; those with unusually few are left out of ``kept``."""
     counted = lists.withColumn("_counted", overlap_counts(F.col("ranges")))
-    spread = expand(F.col("_counted"), "overlaps")
+    spread = by_value(F.col("_counted"), "overlaps")
     df = counted.withColumn("_spread", spread).withColumn("_ordered", F.sort_array("_counted"))
     q1, q3 = quantile(F.col("_spread"), 0.25), quantile(F.col("_spread"), 0.75)
     df = df.withColumn("overlap_threshold", F.abs(q1 - (q3 - q1) * 1.5))
@@ -196,19 +190,19 @@ def widen_core(intersected: DataFrame, p: Params) -> DataFrame:
 
 def week_outliers(df: DataFrame, weeks: str, result: str) -> DataFrame:
     """Drop exact starts unusually far from, or near to, the upper median; keeps the order."""
-    starts = expand(F.col(weeks), "start")
-    df = df.withColumn("_median", F.get(starts, F.floor(F.size(starts) / 2).cast("int")))
+    df = df.withColumn("_starts", by_value(F.col(weeks), "start"))
+    df = df.withColumn("_median", at_rank(F.col("_starts"), F.floor(total(F.col("_starts")) / 2), "date"))
     away = F.transform(
         weeks, lambda w: F.struct(F.abs(F.date_diff(w["start"], F.col("_median"))).alias("away"), w["n"].alias("n"))
     )
-    df = df.withColumn("_away", expand(away, "away"))
+    df = df.withColumn("_away", by_value(away, "away"))
     df = df.withColumn("_q1", quantile(F.col("_away"), 0.25)).withColumn("_q3", quantile(F.col("_away"), 0.75))
     reach = (F.col("_q3") - F.col("_q1")) * 1.5
     df = df.withColumn("_low", F.col("_q1") - reach).withColumn("_high", F.col("_q3") + reach)
     return df.withColumn(
         result,
         F.filter(weeks, lambda w: F.abs(F.date_diff(w["start"], F.col("_median"))).between(F.col("_low"), F.col("_high"))),
-    ).drop("_median", "_away", "_q1", "_q3", "_low", "_high")
+    ).drop("_starts", "_median", "_away", "_q1", "_q3", "_low", "_high")
 
 
 def choose_start(widened: DataFrame, p: Params) -> DataFrame:
