@@ -1,10 +1,15 @@
 """Timing agreement against a plain loop over each person's records, and single cases."""
 
 import random
+import time
 from datetime import date, timedelta
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from storkline.config import Params
 from storkline.operators import merge, pps
+from storkline.session import cut
 
 DAY0 = date(2018, 6, 1)
 P = Params()
@@ -81,6 +86,58 @@ def test_agreement_of_every_record(spark):
     assert got == {(p, n): (p, n) == (4, 2) for p in range(1, 5) for n in (1, 2)}
 
 
+def by_arrays(line):
+    """Agreement of each record of one person's line (day, concept), every pair tried."""
+    day = np.array([d for d, _ in line])
+    low, high = (np.array([MONTHS[c][k] for _, c in line]) for k in (0, 1))
+
+    def fit(x, y):
+        apart = (day[x] - day[y]) / 30
+        return (high[x] - low[y] + 2 >= apart) & (apart >= low[x] - high[y] - 2)
+
+    out = []
+    for i in range(len(line)):
+        b = np.arange(1, min(i, len(line) - 1 - i) + 1)
+        out.append(bool(fit(i, np.arange(i)).any() or fit(i + b, i - b).any()))
+    return out
+
+
+def test_agreement_of_mixed_lines(spark):
+    """Direct fits, fits around a record and none; ties of days; month ranges of all widths."""
+    rng, rows = random.Random(3), []
+    for person in range(200):
+        at, known = rng.randrange(300), rng.sample(list(MONTHS), rng.randint(1, 4))
+        for _ in range(rng.randint(1, 25)):
+            at += rng.choice([0, 0, 1, 30, 60, 61, 90, 150, 240, 330, 400])
+            rows.append((person, at, rng.choice(known)))
+    rows = sorted(set(rows))
+    records, months, person = frames(spark, rows)
+    got = {(r.person_id, r.position): r.agrees for r in pps.agreement(pps.timeline(records, months, person, P), months, P).collect()}
+    want = {}
+    for person in {p for p, *_ in rows}:
+        for i, agrees in enumerate(by_arrays(sorted((d, c) for p, d, c in rows if p == person))):
+            want[person, i + 1] = agrees
+    assert got == want and 100 < sum(got.values()) < len(got) - 100
+
+
+def test_a_person_with_thousands_of_records(spark):
+    """Every record asked for; the rows between the operators grow with the records, and it takes seconds."""
+    kinds = list(MONTHS)
+    line = [(d, c) for d in range(3334) for c in kinds]
+    records, months, person = frames(spark, [(1, 0, kinds[0])])
+    days = spark.range(3334).select(F.lit(1).cast("long").alias("person_id"), F.date_add(F.lit(DAY0), F.col("id").cast("int")).alias("event_date"))
+    records = days.join(months.select(F.col("domain_concept_id").alias("concept_id"), F.col("domain_concept_name").alias("concept_name")), F.lit(True))
+    ordered = cut(pps.timeline(records.withColumn("domain", F.lit("condition")), months, person, P))
+    assert ordered.count() == len(line) == 20_004
+    begin = time.monotonic()
+    got = [r.agrees for r in pps.agreement(ordered, months, P).orderBy("position").collect()]
+    assert time.monotonic() - begin < 40
+    assert got == by_arrays(line)
+    base = ordered.select("person_id", "position", "event_date", *pps.RANGES, "records")
+    alone = pps.fits_earlier(ordered, base, months, P).filter(~F.col("fits"))
+    assert 0 < alone.count() < 50  # only those meet other records in pairs
+
+
 def test_long_episodes_go_and_the_rest_is_renumbered(spark):
     data = [(1, DAY0, 1), (1, DAY0 + timedelta(361), 1), (1, DAY0 + timedelta(800), 2), (1, DAY0 + timedelta(1160), 2),
             (1, DAY0 + timedelta(1600), 3)]
