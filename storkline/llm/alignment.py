@@ -33,7 +33,9 @@ from storkline.session import cut
 MARK = "▁"
 BLOCK_BYTES = 4 << 20
 #: segments a worker remembers, from block to block; beyond that it starts anew
-REMEMBERED = 60_000
+REMEMBERED = 200_000
+#: new segments encoded in one call
+AT_ONCE = 4_000
 _BYTE = 6  # the type of a piece that stands for one byte
 
 #: a segment begins at a space or line feed behind a character that is no white space
@@ -113,10 +115,10 @@ def read_vocabularies(a_path: str, b_path: str) -> Vocabularies:
     return Vocabularies(a_file, b_file, a_tokens, b_tokens, crossing)
 
 
-def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """All entries in one array and the n + 1 bounds of the lists."""
-    bounds = np.cumsum([0, *map(len, lists)])
-    return np.fromiter((x for own in lists for x in own), np.int64, bounds[-1]), bounds
+def _grow(flat: np.ndarray, bounds: np.ndarray, added: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists in one array and their bounds, with further entries and sizes of lists."""
+    sizes = np.concatenate([np.diff(bounds), *(own for _, own in added)])
+    return np.concatenate([flat, *(own for own, _ in added)]), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _take(flat: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,42 +144,63 @@ class Aligner:
         self.width = len(vocabularies.b_tokens)
         self.a_sizes = np.array([len(t) for t in vocabularies.a_tokens], np.int64)
         self.b_sizes = np.array([len(t) for t in vocabularies.b_tokens], np.int64)
+        self.names = [str(i) for i in range(max(len(self.a_sizes), self.width))]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.words: list[str] = []  # the groups, written out
-        self.fits = np.zeros(0, bool)
+        self.fit = np.zeros(0, bool)
         self.n_a, self.n_b, self.n_groups = (np.zeros(0, np.int64) for _ in range(3))
-        self.exact, self.exact_bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.others, self.other_bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.exact_flat, self.exact_bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.other_flat, self.other_bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.fits, self.counts, self.exact, self.others = [], [], [], []  # added since
 
     def segments(self, t: str) -> list[str]:
         return [" " + t] if self.vocabularies.crossing else _SEGMENT.findall(" " + t)
 
-    def tokens(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of both sides. B puts a mark in front, and nothing joins a line feed to what follows, so a segment
-        behind a line feed gets the ids that it has inside a text, after two that go."""
-        a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
+    def _side(self, ids: list[int], head: int, tokens: list[bytes], sizes: np.ndarray, whole: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of segments that lie one after the other, and their bounds; None if the tokens do not give the
+        bytes back or do not end where segments end."""
+        own = ids[head:]
+        if b"".join([tokens[i] for i in own]) != whole:
+            return None
+        flat = np.array(own, np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes[flat])])
+        bounds = np.searchsorted(at, ends)
+        return (flat, bounds) if len(at) and (at[np.minimum(bounds, len(at) - 1)] == ends).all() else None
+
+    def tokens(self, segments: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None:
+        """The ids of both sides of segments that may lie one after the other in a text. B puts a mark in front, and
+        nothing joins a line feed to what follows, so behind a line feed stand the ids that the segments have inside
+        a text, after some that go."""
+        glued = "".join(segments)
+        whole, ends = glued.encode(), np.cumsum([0, *(len(s.encode()) for s in segments)])
+        a, of_a = self.a.encode(glued, add_special_tokens=False).ids, self.vocabularies.a_tokens
         if self.vocabularies.crossing:
-            return a, self.b.encode([s[1:] for s in segments], num_threads=1)
-        head = len(self.b.encode("\n"))
-        return a, [ids[head:] for ids in self.b.encode(["\n" + s for s in segments], num_threads=1)]
+            head, b = 0, self.b.encode(glued[1:])
+        else:
+            head, b = len(self.b.encode("\n")), self.b.encode("\n" + glued)
+        sides = self._side(a, 0, of_a, self.a_sizes, whole, ends), self._side(b, head, self.vocabularies.b_tokens, self.b_sizes, whole, ends)
+        return sides if None not in sides else None
 
     def learn(self, new: list[str]) -> None:
-        """Add segments that are not known yet."""
-        for at in range(0, len(new), 10_000):
-            self._learn(new[at:at + 10_000])
-
-    def _learn(self, new: list[str]) -> None:
-        a, b = self.tokens(new)
-        a_token, b_token = self.vocabularies.a_tokens, self.vocabularies.b_tokens
-        fits = np.array([
-            (whole := s.encode()) == b"".join([b_token[i] for i in y]) and whole == b"".join([a_token[i] for i in x])
-            for s, x, y in zip(new, a, b, strict=True)
-        ], bool)
-        a_ids, a_bounds = _flat([x if fit else [] for x, fit in zip(a, fits, strict=True)])
-        b_ids, b_bounds = _flat([y if fit else [] for y, fit in zip(b, fits, strict=True)])
+        """Add segments that are not known yet. A segment that ends in white space is the last of its text and is
+        encoded by itself; segments that do not come back byte for byte are found by halving."""
+        glued, alone = [], []
+        for s in new:
+            (alone if s[-1].isspace() or self.vocabularies.crossing else glued).append(s)
+        waiting = [[s] for s in alone] + [glued[at:at + AT_ONCE] for at in range(0, len(glued), AT_ONCE)]
+        while waiting:
+            part = waiting.pop()
+            both = self.tokens(part)
+            if both is None and len(part) > 1:
+                waiting += [part[:len(part) // 2], part[len(part) // 2:]]
+            else:
+                self._add(part, *(both or ((np.zeros(0, np.int64), np.zeros(2, np.int64)),) * 2), fits=both is not None)
+
+    def _add(self, new: list[str], a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], fits: bool = True) -> None:
+        (a_ids, a_bounds), (b_ids, b_bounds) = a, b
         a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
         # between two neighbouring ends of either side lies one link, between two common ends one group
         every, common = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
@@ -187,27 +210,32 @@ class Aligner:
         full = np.concatenate([[0], a_ends])[a_bounds]  # the byte where each segment ends
         link_bounds, group_bounds = np.searchsorted(every, full, "right"), np.searchsorted(common, full, "right")
         exact_before = np.concatenate([[0], np.cumsum(exact)])[link_bounds]
-
-        self.fits = np.concatenate([self.fits, fits])
-        self.n_a = np.concatenate([self.n_a, np.diff(a_bounds)])
-        self.n_b = np.concatenate([self.n_b, np.diff(b_bounds)])
-        self.n_groups = np.concatenate([self.n_groups, np.diff(group_bounds)])
-        self.exact = np.concatenate([self.exact, a_link[exact]])
-        self.exact_bounds = np.concatenate([self.exact_bounds, self.exact_bounds[-1] + exact_before[1:]])
-        self.others = np.concatenate([self.others, (a_link * self.width + b_link)[~exact]])
-        self.other_bounds = np.concatenate([self.other_bounds, self.other_bounds[-1] + (link_bounds - exact_before)[1:]])
+        self.fits.append(np.full(len(new), fits))
+        self.counts.append(np.stack([np.diff(a_bounds), np.diff(b_bounds), np.diff(group_bounds)]))
+        self.exact.append((a_link[exact], np.diff(exact_before)))
+        self.others.append(((a_link * self.width + b_link)[~exact], np.diff(link_bounds - exact_before)))
         a_cuts, b_cuts = (np.searchsorted(ends, common, "right").tolist() for ends in (a_ends, b_ends))
-        a_all, b_all, bounds = a_ids.tolist(), b_ids.tolist(), group_bounds.tolist()
-        i = j = 0
-        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
-            parts = []
-            for g in range(first, last):
-                parts.append(f"{','.join(map(str, a_all[i:a_cuts[g]]))}|{','.join(map(str, b_all[j:b_cuts[g]]))}")
-                i, j = a_cuts[g], b_cuts[g]
-            self.words.append(";".join(parts))
+        a_names, b_names = [self.names[i] for i in a_ids.tolist()], [self.names[i] for i in b_ids.tolist()]
+        parts, i, j = [], 0, 0
+        for i_end, j_end in zip(a_cuts, b_cuts, strict=True):
+            left = a_names[i] if i_end - i == 1 else ",".join(a_names[i:i_end])
+            right = b_names[j] if j_end - j == 1 else ",".join(b_names[j:j_end])
+            parts.append(f"{left}|{right}")
+            i, j = i_end, j_end
+        bounds = group_bounds.tolist()
+        self.words += [";".join(parts[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
         for s in new:
             self.known[s] = len(self.known)
 
+    def settle(self) -> None:
+        """Put what was added into the arrays by segment."""
+        if self.fits:
+            self.fit = np.concatenate([self.fit, *self.fits])
+            self.n_a, self.n_b, self.n_groups = np.concatenate([np.stack([self.n_a, self.n_b, self.n_groups]), *self.counts], axis=1)
+            self.exact_flat, self.exact_bounds = _grow(self.exact_flat, self.exact_bounds, self.exact)
+            self.other_flat, self.other_bounds = _grow(self.other_flat, self.other_bounds, self.others)
+            self.fits, self.counts, self.exact, self.others = [], [], [], []
+
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The segments of each text by number; a text whose bytes one side does not give back has none."""
         if len(self.known) > REMEMBERED:
@@ -215,8 +243,9 @@ class Aligner:
         cuts = [self.segments(t) if t else [] for t in texts]
         known = self.known
         self.learn([s for s in dict.fromkeys(s for own in cuts for s in own) if s not in known])
+        self.settle()
         found = [np.fromiter(map(known.__getitem__, own), np.int64, len(own)) for own in cuts]
-        return [own if self.fits[own].all() else own[:0] for own in found]
+        return [own if self.fit[own].all() else own[:0] for own in found]
 
 
 _aligners: dict[str, Aligner] = {}
@@ -243,8 +272,8 @@ def _block(aligner: Aligner, number: int, ids: list, texts: list[str], vector: n
     found = aligner.numbers(texts)
     ends = np.cumsum([0, *map(len, found)])
     own, places, often = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    exact, exact_ends = _take(aligner.exact, aligner.exact_bounds, own)
-    others, other_ends = _take(aligner.others, aligner.other_bounds, own)
+    exact, exact_ends = _take(aligner.exact_flat, aligner.exact_bounds, own)
+    others, other_ends = _take(aligner.other_flat, aligner.other_bounds, own)
     vector += np.bincount(exact, np.repeat(often, np.diff(exact_ends)), len(vector)).astype(np.int64)
     pairs, pair_at = np.unique(others, return_inverse=True)
     counts = np.bincount(pair_at, np.repeat(often, np.diff(other_ends)), len(pairs)).astype(np.int64)
