@@ -5,8 +5,8 @@ median of its bytes, until the leaves hold the bytes asked for. Medians are exac
 the dimension's coordinate and a hash of the text, and each round of a histogram over all rows narrows
 the place of every node's median by STEP bits. The driver sees one histogram of bounded size a round.
 
-Copies of a text share all coordinates and stay together, unless their bytes are more than WHOLE of a
-shard; such a group is ordered row by row and may be split anywhere.
+Copies of a text share all coordinates and stay together, unless they do not fit into a shard: a group of
+more bytes than a leaf is to hold is ordered row by row and may be split anywhere.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ from storkline.session import cut
 
 DIMENSIONS = ("lang", "source", "size")
 COORDINATE_BITS, TIE_BITS, STEP = 16, 24, 10
-WHOLE = 0.1
+#: a group of copies is kept whole up to so much of a leaf
+WHOLE = 1.0
 #: rows numbered by one task at a time
 NUMBERED = 2000
 
 
 def points(docs: DataFrame, leaves: int) -> DataFrame:
     """`doc_id`, `size`, `text_crc32`, the coordinates in DIMENSIONS (0 to 2 ** COORDINATE_BITS - 1)
-    and the `tie` of every row, with a number `row` of its own."""
+    and the `tie` of every row, with a number `row` of its own; `oversize` marks copies that no leaf holds."""
     content = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = cut(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(content) + 1).cast("long").alias("bytes"),
@@ -43,7 +44,7 @@ def points(docs: DataFrame, leaves: int) -> DataFrame:
     tie = F.pmod(F.when(large, F.xxhash64("copy", "row")).otherwise(F.xxhash64("copy")), F.lit(1 << TIE_BITS))
     return cut(rows.drop("lang", "source").join(groups, "copy").select(
         "doc_id", F.col("bytes").alias("weight"), "text_crc32", "row", place("lang").alias("lang"), place("source").alias("source"),
-        F.least(F.log2("bytes") / 40 * names, F.lit(names - 1)).cast("long").alias("size"), tie.alias("tie"),
+        F.least(F.log2("bytes") / 40 * names, F.lit(names - 1)).cast("long").alias("size"), tie.alias("tie"), large.alias("oversize"),
     ))
 
 
@@ -124,5 +125,5 @@ def shards(docs: DataFrame, leaves: int = 16) -> DataFrame:
     """
     numbered = number(cut(assign(points(docs, leaves), leaves)))
     return numbered.select(
-        "doc_id", F.col("weight").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", F.col("weight").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "oversize",
     )

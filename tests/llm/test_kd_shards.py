@@ -40,6 +40,58 @@ def test_group_larger_than_a_shard_is_split(spark, documents):
     assert max(sizes) < 1.1 * sum(sizes) / 16 and min(sizes) > 0.9 * sum(sizes) / 16
 
 
+def plain_tree(rows, leaves):
+    """Shard by row number, by recursion over lists: widest dimension, weighted median, whole keys."""
+    total, out = sum(r.weight for r in rows), {}
+
+    def split(own, node, left):
+        if not left:
+            out.update(dict.fromkeys((r.row for r in own), node - leaves))
+            return
+        if sum(r.weight for r in own) * leaves <= total:
+            split(own, node * 2, left - 1)
+            return
+        widths = [max(getattr(r, d) for r in own) - min(getattr(r, d) for r in own) for d in kd_shards.DIMENSIONS]
+        d = kd_shards.DIMENSIONS[widths.index(max(widths))]
+        key = lambda r: (getattr(r, d), r.tie)
+        weights = Counter()
+        for r in own:
+            weights[key(r)] += r.weight
+        half, before, last = sum(weights.values()) / 2, 0, None
+        for k in sorted(weights):
+            after = before + weights[k]
+            if after >= half:
+                last = k if abs(after - half) <= abs(before - half) else last
+                break
+            before, last = after, k
+        split([r for r in own if last is not None and key(r) <= last], node * 2, left - 1)
+        split([r for r in own if last is None or key(r) > last], node * 2 + 1, left - 1)
+
+    split(rows, 1, leaves.bit_length() - 1)
+    return out
+
+
+def test_against_a_plain_tree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    placed = kd_shards.points(docs, 16)
+    assert {r.row: r.shard for r in kd_shards.assign(placed, 16).select("row", "shard").collect()} == plain_tree(placed.collect(), 16)
+
+
+def test_equal_texts_stay_together_unless_larger_than_a_shard(spark, documents):
+    """Groups of copies just below and far above what a shard is to hold."""
+    rest = [(i, t) for i, t in documents if len(t) < 3000][:500]
+    size = sum(len((t or "").encode()) + 1 for _, t in rest)
+    copies = [(10_000 + i, "a text that fills most of a shard " * 20) for i in range(int(0.85 * size / 16 / 700))]
+    many = [(20_000 + i, "a text that no shard holds " * 20) for i in range(int(3 * size / 16 / 541))]
+    rows = shards(spark.createDataFrame(rest + copies + many, "doc_id long, text string").selectExpr("*", "'en' lang", "'a' source")).collect()
+    check(rows, rest + copies + many)
+    homes = defaultdict(set)
+    for r in rows:
+        homes[r.text_crc32, r.oversize].add(r.shard)
+    assert all(len(own) == 1 for (_, oversize), own in homes.items() if not oversize)
+    assert [len(own) > 1 for (_, oversize), own in homes.items() if oversize] == [True]
+
+
 def test_medians(spark):
     pick = random.Random(8)
     rows = [(1 + i % 2, pick.randrange(1, 100), pick.choice([5, 9, pick.randrange(1 << 16)]), 0, 0, pick.randrange(1 << 24)) for i in range(500)]
