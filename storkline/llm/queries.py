@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_delta_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals of all documents. An older version, which counts characters, and its counts under the
     present name come first, in four batches of which one is sent twice; then all counts are revised, the
-    older version is taken back, and so is one part, which is inserted again."""
+    older version is taken back, all is compacted, and one part is taken back and inserted again."""
     counts = cut(token_counts.count(_table(spark, sf_dir, "documents"), token_counts.read_ranks(RANKS), "byte_bpe_50k"))
     rollup = token_counts.Rollup(spark, stage_path(spark))
     known = counts.filter("doc_id is not null")
@@ -39,6 +39,7 @@ def op1_delta_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.commit(f"part {k}", drafts.unionByName(older).filter(part == k))
     rollup.commit("revised", rollup.revisions(known))
     rollup.commit("older version back", rollup.deletes(known, "characters"))
+    rollup.compact()
     rollup.commit("part 2 back", rollup.deletes(known.filter(part == 2)))
     rollup.commit("part 2 again", known.filter(part == 2))
     return rollup.totals()

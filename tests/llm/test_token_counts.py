@@ -78,6 +78,80 @@ def test_a_commit_broken_off_does_not_count(spark, tmp_path):
     assert rollup.commit("x", frame(spark, rows)) and found(rollup.totals()) == plain(rows)
 
 
+class Broken(BaseException):
+    """The end of the driver; nothing catches it."""
+
+
+@pytest.mark.parametrize("step", ["_store", "_write", "_rename"])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_driver_that_dies_between_two_steps(spark, tmp_path, monkeypatch, step, after):
+    """Whatever step a commit or compaction breaks off before or after, totals can be read, hold whole batches only,
+    and the batch can be sent again."""
+    first, second = [(1, "one two", "a", "en")], [(2, "three", "a", "en"), (3, "four", "b", None)]
+    rollup = Rollup(spark, str(tmp_path))
+    rollup.commit("1", frame(spark, first))
+
+    def dies(self, *args, own=getattr(Rollup, step)):
+        if after:
+            own(self, *args)
+        raise Broken
+
+    with monkeypatch.context() as m:
+        m.setattr(Rollup, step, dies)
+        with pytest.raises(Broken):
+            Rollup(spark, str(tmp_path)).commit("2", frame(spark, second))
+    done = step == "_rename" and after  # the marker is in place: the batch counts
+    assert found(rollup.totals()) == plain(first + second if done else first)
+    assert rollup.commit("2", frame(spark, second)) != done and not rollup.commit("2", frame(spark, second))
+    assert found(rollup.totals()) == plain(first + second)
+
+    with monkeypatch.context() as m:
+        m.setattr(Rollup, step, dies)
+        with pytest.raises(Broken):
+            rollup.compact()
+    assert found(rollup.totals()) == plain(first + second) and len(rollup.commits()) == (1 if done else 2)
+    assert rollup.compact() != done and not rollup.compact()
+    rollup.clean()
+    assert found(rollup.totals()) == plain(first + second) and {r.doc_id for r in rollup.counted().collect()} == {1, 2, 3}
+
+
+def test_an_unfinished_marker_is_no_commit(spark, tmp_path):
+    rows = [(1, "one two", "a", "en")]
+    rollup = Rollup(spark, str(tmp_path))
+    marker = tmp_path / "commits" / rollup._marker("x").getName()
+    marker.parent.mkdir()
+    marker.write_bytes(b"")
+    assert rollup.totals().count() == 0
+    assert rollup.commit("x", frame(spark, rows)) and found(rollup.totals()) == plain(rows)
+
+
+def test_compaction_keeps_what_counts(spark, documents, tmp_path):
+    rows = [(i, t, f"s{i % 3}", "en") for i, t in documents[:90]] + [(None, "no id", "s0", "en")]
+    rollup = Rollup(spark, str(tmp_path))
+    for k in range(3):
+        rollup.commit(str(k), frame(spark, rows[k::3]))
+    rollup.commit("back", rollup.deletes(spark.createDataFrame([(r[0],) for r in rows[:30]], "doc_id long")))
+    left = rows[30:]
+    assert rollup.compact() and len(rollup.commits()) == 1 and found(rollup.totals()) == plain(left)
+    assert not any(rollup.commit(k, frame(spark, rows)) for k in ("0", "1", "2", "back"))
+    rollup.commit("more", frame(spark, rows[:5]))
+    rollup.commit("revised", rollup.revisions(frame(spark, [(left[0][0], "now this", "s1", "en")])))
+    rollup.clean()
+    left = left[1:] + rows[:5] + [(left[0][0], "now this", "s1", "en")]
+    assert len(rollup.commits()) == 3 and found(rollup.totals()) == plain(left)
+    assert rollup.compact() and len(rollup.commits()) == 1 and found(rollup.totals()) == plain(left)
+
+
+def test_a_small_change_reads_its_parts_only(spark, documents, tmp_path):
+    rollup = Rollup(spark, str(tmp_path))
+    rollup.commit("all", frame(spark, [(i, t, "s", "en") for i, t in documents[:300]]))
+    ids = spark.createDataFrame([(documents[3][0],)], "doc_id long")
+    files = rollup.counted(ids).inputFiles()
+    plan = rollup.counted(ids)._jdf.queryExecution().executedPlan().toString()
+    assert len(files) > 20 and "PartitionFilters: [" in plan and "part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert [r.doc_id for r in rollup.counted(ids).collect()] == [documents[3][0]]
+
+
 def test_long_texts_are_cut_between_tokens(monkeypatch):
     monkeypatch.setattr(token_counts, "PIECE", 50)
     monkeypatch.setattr(token_counts, "RUN", 40)
