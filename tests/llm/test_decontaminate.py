@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from storkline.llm import decontaminate
@@ -110,3 +111,29 @@ def test_texts_shorter_than_the_item(spark):
     short = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_words) for r in out}
     assert len(expected) >= 20 and short == expected
     assert drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == len(docs) - len({d for d, _ in expected})
+
+
+@pytest.mark.parametrize("uneven", [False, True])
+def test_recall_of_the_radius(uneven):
+    """Pairs of equal length at a similarity of 0.8 and more, tried in pairs: how many lie beyond the radius. One word in
+    seven is long in the uneven texts, and the five shingles it raises at once spread the distance."""
+    pick = random.Random(4)
+
+    def word():
+        return "".join(pick.choice("abcdefghij") for _ in range(pick.randrange(20, 60) if uneven and pick.random() < 0.15 else pick.randrange(2, 10)))
+
+    texts = []
+    for _ in range(6000):
+        own = [word() for _ in range(pick.randrange(12, 120))]
+        other = list(own)
+        for _ in range(pick.choice([1, 1, 1, 2, 2, 3, 4])):
+            other[pick.randrange(len(own))] = word()
+        texts += [" ".join(own), " ".join(other)]
+    every, weights, bounds = decontaminate._shingled(pa.array(texts))
+    starts, stops = bounds[:-1], bounds[1:] - decontaminate.WIDTH + 1
+    prints = decontaminate._prints(every, weights, starts, stops)
+    weighed = [decontaminate._weighed(every[a:b].tolist(), weights[a:b].tolist()) for a, b in zip(starts, stops, strict=True)]
+    apart = [
+        int(prints[i] ^ prints[i + 1]).bit_count() for i in range(0, len(texts), 2) if decontaminate.weighted_similarity(weighed[i], weighed[i + 1]) >= 0.8
+    ]
+    assert len(apart) > 2000 and sum(d > decontaminate.RADIUS for d in apart) <= 0.002 * len(apart)
