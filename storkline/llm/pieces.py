@@ -28,7 +28,7 @@ from storkline.llm import text
 
 MARK = "▁"
 #: words whose ids a worker remembers, from task to task; beyond that it starts anew
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: bytes of text whose new words are encoded in one walk
 BATCH_BYTES = 2 << 20
 _NORMAL, _UNKNOWN, _BYTE, _UNIGRAM, _MERGES = 1, 2, 6, 1, 2

@@ -7,6 +7,7 @@ byte values, computed for all words of a chunk from one running sum, then mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,6 +39,22 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: A-Z to a-z
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def let_go() -> None:
+    """Give memory that no array uses any more back to the system; a worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def rows_of(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """The rows one by one, so that only one stands in memory as Python objects."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -62,6 +79,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    let_go()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +107,42 @@ def split(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes; equal stretches have equal hashes wherever they stand."""
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * power[:len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+def _long_hash(data: np.ndarray) -> np.ndarray:
+    """The hash of one stretch, summed up over parts of it."""
+    power, _ = _power_tables(CHUNK_BYTES)
+    total = 0
+    for at in range(0, len(data), CHUNK_BYTES):
+        part = data[at:at + CHUNK_BYTES]
+        total += int((_BYTE_VALUES[part] * power[:len(part)]).sum(dtype=np.uint64)) * pow(_RATIO, at, 1 << 64)
+    return mix(np.array([total % (1 << 64)], np.uint64))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes; equal stretches have equal hashes wherever they stand. Of
+    more than CHUNK_BYTES, ascending stretches are taken in groups that span no more than that."""
+    if len(data) <= CHUNK_BYTES or len(starts) == 0 or (starts[1:] < starts[:-1]).any():
+        return _hashes(data, starts, ends)
+    out, i = np.zeros(len(starts), np.uint64), 0
+    far = np.maximum.accumulate(ends)
+    while i < len(starts):
+        base = starts[i]
+        j = int(np.searchsorted(far, base + CHUNK_BYTES, "right"))
+        if j > i:
+            out[i:j] = _hashes(data[base:base + CHUNK_BYTES], starts[i:j] - base, ends[i:j] - base)
+        else:
+            j = i + 1
+            out[i:j] = _long_hash(data[base:ends[i]])
+        i = j
+    return out
+
+
 def joined(words: np.ndarray, width: int) -> np.ndarray:
     """A hash of every `width` consecutive entries, whatever text they belong to."""
     n = len(words) - width + 1

@@ -55,3 +55,21 @@ def test_hashes_tell_words_apart(documents):
     words = {w for _, t in documents for w in re.findall(r"[^\x20\x09-\x0D]+", t)}
     hashed, _ = text.word_hashes(pa.array(sorted(words)), lower=False)
     assert len(set(hashed.tolist())) == len(words)
+
+
+def test_hashes_of_long_texts_in_parts(monkeypatch):
+    """Stretches have the same hash whatever part of a text they are hashed with, longer ones included."""
+    import numpy as np
+
+    from storkline.llm import text
+
+    pick = np.random.default_rng(1)
+    data = pick.integers(0, 256, 40_000, dtype=np.uint8)
+    starts = np.sort(pick.integers(0, 39_000, 3000))
+    ends = np.minimum(starts + pick.choice([0, 1, 7, 90, 900, 5000], 3000), len(data))
+    whole = text.hashes(data, starts, ends)
+    mixed = pick.permutation(3000)
+    monkeypatch.setattr(text, "CHUNK_BYTES", 1000)
+    assert (text.hashes(data, starts, ends) == whole).all()
+    assert (text.hashes(data, starts[mixed], ends[mixed]) == whole[mixed]).all()
+    assert (text.hashes(data, starts[:0], ends[:0]) == whole[:0]).all()
