@@ -2,9 +2,9 @@
 
 The tagger (`char_tagger`) learns from windows around digits and `@` of a bounded sample of documents,
 labelled with the spans of the patterns, and from rewritten copies of these spans that the patterns
-miss. Every kind holds digits or an `@`, so a text is read within REACH characters of those; all such
-stretches of every text are tagged. A tagged span is added if it has what its kind needs and overlaps
-neither a span of the patterns nor a match of its own kind that failed their check.
+miss, as many of each kind. Every kind holds digits or an `@`, so a text is read within REACH characters
+of those and on to the end of a word that begins there; all such stretches of every text are tagged. A tagged span is added if it has what its kind needs and overlaps
+neither a span of the patterns nor a match of its own kind that failed their check with as many digits.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from storkline.llm import char_tagger, text
 from storkline.llm.char_tagger import WINDOW
 
 KINDS = ("email", "ip", "card", "phone")
-#: documents the tagger learns from, half of them with spans; the first in an order by a hash
-SAMPLE = 500
-EPOCHS = 25
+#: bounds of what the tagger learns from: documents, half of them with spans, the first in an order by a hash;
+#: characters of such a document; stretches of each; rewritten spans of each kind
+SAMPLE, LONGEST, STRETCHES, REWRITTEN = 500, 20_000, 8, 250
+EPOCHS = 14
 TAGS = 2 * len(KINDS) + 1
 #: characters read on both sides of a digit or `@`
 REACH = 32
@@ -79,10 +80,17 @@ def by_patterns(t: str) -> tuple[list[Span], list[Span]]:
 
 
 def stretches(t: str) -> list[tuple[int, int]]:
-    """The parts of a text within REACH characters of a digit or `@`."""
+    """The parts of a text within REACH characters of a digit or `@`, with the words that reach over their edges."""
     found: list[list[int]] = []
     for m in _TRIGGER.finditer(t):
+        if found and m.end() + REACH <= found[-1][1]:
+            continue
         a, b = max(0, m.start() - REACH), min(len(t), m.end() + REACH)
+        least = found[-1][1] if found else 0
+        while a > least and not t[a - 1].isspace():
+            a -= 1
+        while b < len(t) and not t[b].isspace():
+            b += 1
         if found and a <= found[-1][1]:
             found[-1][1] = b
         else:
@@ -119,11 +127,11 @@ def _spans(tags: np.ndarray, begin: int) -> list[Span]:
 def _has_parts(s: str, kind: int) -> bool:
     """Whether a tagged span has what its kind needs."""
     n = len(_digits(s))
-    if kind == 0:
-        return bool(re.fullmatch(r"\S+@\S*\w\.\w\S*", s))
+    if kind == 0:  # blanks may stand around the mark
+        return bool(re.fullmatch(r"[^\s@]+\s{0,2}@\s{0,2}[^\s@]*\w\.\w[^\s@]*", s))
     if kind == 1:
         return len(re.findall(r"[0-9]+", s)) == 4 and len(s) <= 20
-    return 12 <= n <= 19 if kind == 2 else 9 <= n <= 15
+    return 12 <= n <= 19 and luhn(_digits(s)) if kind == 2 else 9 <= n <= 15
 
 
 def _rewritten(s: str, kind: int, pick: random.Random) -> str:
@@ -147,23 +155,34 @@ def fit(texts: list[str], seed: int = 1) -> dict[str, np.ndarray]:
             codes.append(np.pad(own, (0, WINDOW - len(own)), constant_values=char_tagger.PAD))
             tags.append(np.pad(_tags(len(own), spans, a + w), (0, WINDOW - len(own))))
 
+    held: list[list[tuple]] = [[] for _ in KINDS]
     for t in texts:
         spans, _ = by_patterns(t)
-        for a, b in stretches(t)[:8]:
+        for a, b in stretches(t)[:STRETCHES]:
             # windows at chance places, so that a span may stand anywhere in one
             add(t, spans, max(0, a - pick.randrange(REACH)), b)
             inner = [s for s in spans if a <= s[0] and s[1] <= b]
-            if inner and pick.random() < 0.5:
-                x, y, kind = pick.choice(inner)
-                new = _rewritten(t[x:y], kind, pick)
-                shift = len(new) - (y - x)
-                moved = [(s + shift * (s >= y), e + shift * (e >= y), k) for s, e, k in inner if e <= x or s >= y]
-                add(t[:x] + new + t[y:], [*moved, (x, x + len(new), kind)], a, b + shift)
+            for x, y, kind in inner:
+                held[kind].append((t, a, b, x, y, [s for s in inner if s[1] <= x or s[0] >= y]))
+    for kind, own in enumerate(held):
+        for t, a, b, x, y, others in (pick.choice(own) for _ in range(REWRITTEN if own else 0)):
+            new = _rewritten(t[x:y], kind, pick)
+            shift = len(new) - (y - x)
+            moved = [(s + shift * (s >= y), e + shift * (e >= y), k) for s, e, k in others]
+            # of a long stretch only the surroundings
+            low, high = max(a, x - REACH), min(b, y + REACH) + shift
+            add(t[:x] + new + t[y:], [*moved, (x, x + len(new), kind)], max(0, low - pick.randrange(REACH)), high)
     if not codes:
         return char_tagger.silent(TAGS)
     return char_tagger.train(np.array(codes), np.array(tags), TAGS, EPOCHS, seed=seed)
 
 
+def _covers(t: str, begin: int, end: int, span: Span) -> bool:
+    """Whether a stretch overlaps a span and holds as many digits: then it is the number that the span stands for."""
+    a, b, _ = span
+    return a < end and begin < b and len(_digits(t[begin:end])) >= len(_digits(t[a:b]))
+
+
 def find(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[list[Span], list[Span]]]:
     """For each text the spans of the patterns and the spans added."""
     base = [by_patterns(t) for t in texts]
@@ -177,7 +196,7 @@ def find(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[list[Span
             near = [(x, y) for x, y, _ in good if y > a], [(x, y, k) for x, y, k in failed if y > a]
             added[i] += [
                 s for s in found
-                if not any(s[0] < y and x < s[1] for x, y in near[0]) and not any(s[0] < y and x < s[1] and k == s[2] for x, y, k in near[1])
+                if not any(s[0] < y and x < s[1] for x, y in near[0]) and not any(k == s[2] and _covers(texts[i], x, y, s) for x, y, k in near[1])
             ]
     return [(good, extra) for (good, _), extra in zip(base, added, strict=True)]
 
@@ -218,8 +237,9 @@ def _report(model):
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """A tagger from at most `sample` documents with digits or `@`, half of them with a likely span."""
-    plain = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]")).filter(F.length("text") < 20_000)
+    """A tagger from at most `sample` documents of fewer than LONGEST characters with digits or `@`, half of them
+    with a likely span; of each the first STRETCHES stretches, and REWRITTEN rewritten spans of each kind in all."""
+    plain = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]")).filter(F.length("text") < LONGEST)
     likely = F.col("text").rlike(r"@|[0-9]{12}|[0-9]+\.[0-9]+\.[0-9]|\+[0-9]")
     rows: list[str] = []
     for part in (plain.filter(likely), plain.filter(~likely)):

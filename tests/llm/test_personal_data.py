@@ -106,19 +106,71 @@ def test_held_out_spans(model, documents):
     assert len(found & truth) > 0.9 * len(truth) and len(found & truth) > 0.9 * len(found)
 
 
-def test_adds_what_the_patterns_miss(model, documents):
-    pick, hits, tried = random.Random(9), 0, 0
-    for _, t in documents:
+@pytest.fixture(scope="module")
+def small_model(spark):
+    return personal_data.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+@pytest.fixture(scope="module")
+def unseen():
+    """Documents of which no tagger here learns: none of those in the small table, the last of the large one."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()
+    return [t for t in texts[-4000:] if t and len(t) < 20_000]
+
+
+#: forms that the taggers never see
+HELD_OUT = {
+    0: lambda s: s.replace("@", " @"), 1: lambda s: s.replace(".", " ."),
+    2: lambda s: "_".join(re.sub("[^0-9]", "", s)[i:i + 4] for i in range(0, 20, 4)).strip("_"),
+}
+
+
+def added(model, texts, rewrite):
+    """Per kind how many rewritten spans are added, and how many the patterns miss."""
+    hits, tried = [0] * len(KINDS), [0] * len(KINDS)
+    for t in texts:
         for a, b, kind in by_patterns(t)[0]:
-            new = personal_data._rewritten(t[a:b], kind, pick)
-            whole = t[:a] + new + t[b:]
-            base, added = find([whole], model)[0]
+            new = rewrite(t[a:b], kind)
+            if new is None:
+                continue
+            base, extra = find([t[:a] + new + t[b:]], model)[0]
             if not any(x < a + len(new) and a < y for x, y, _ in base):
-                tried += 1
-                hits += any(x < a + len(new) and a < y and k == kind for x, y, k in added)
-    assert tried > 20 and hits > 0.5 * tried
-    clean = [x for _, x in documents if not by_patterns(x)[0]]
-    assert sum(bool(extra) for _, extra in find(clean, model)) <= 0.005 * len(clean)
+                tried[kind] += 1
+                hits[kind] += any(x < a + len(new) and a < y and k == kind for x, y, k in extra)
+    return hits, tried
+
+
+@pytest.mark.parametrize("size", ["small", "large"])
+def test_adds_what_the_patterns_miss(model, small_model, unseen, size):
+    pick, own = random.Random(9), model if size == "large" else small_model
+    hits, tried = added(own, unseen, lambda s, kind: personal_data._rewritten(s, kind, pick))
+    assert min(tried) > 20 and all(h > 0.5 * n for h, n in zip(hits, tried, strict=True))
+    clean = [x for x in unseen if not by_patterns(x)[0]]
+    assert sum(bool(extra) for _, extra in find(clean, own)) <= 0.002 * len(clean)
+
+
+def test_adds_forms_it_never_saw(model, unseen):
+    hits, tried = added(model, unseen, lambda s, kind: HELD_OUT[kind](s) if kind in HELD_OUT else None)
+    assert min(tried[:3]) > 20 and all(h > 0.5 * n for h, n in zip(hits[:3], tried[:3], strict=True))
+
+
+def test_a_failed_number_stays_out_and_parts_of_another_do_not():
+    t = "pay 4111 1111 1111 1112 or 4111/1111/1111/1111 now"
+    good, failed = by_patterns(t)
+    assert not good and personal_data._covers(t, *next(f for f in failed if f[1] - f[0] == 19)[:2], (4, 23, 2))
+    assert not any(personal_data._covers(t, a, b, (27, 46, 2)) for a, b, _ in failed)
+    assert personal_data._has_parts("4111/1111/1111/1111", 2) and not personal_data._has_parts("4111/1111/1111/1112", 2)
+    assert all(personal_data._has_parts(s, 0) for s in ("a@b.c", "a @ b.c", "a@ b.c")) and not personal_data._has_parts("a @ b @ c.d", 0)
+
+
+def test_stretches_end_with_words():
+    name, domain = "n" * 90, "d" * 50 + ".example"
+    t = f"before {name} @ {domain} and after"
+    (span,) = personal_data.stretches(t)
+    assert span[0] <= t.index(name) and span[1] >= t.index(domain) + len(domain)
+    assert personal_data.stretches("x" * 500 + "1" + "y" * 500) == [(0, 1001)]
 
 
 def test_report_and_mask_of_a_table(spark, documents):
