@@ -25,8 +25,9 @@ def build_session(app: str = "storkline", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-#: file system and path of each stage
+#: file system and path of each stage, and the stages that a catalog names
 _written: list[tuple] = []
+_named: list[tuple[SparkSession, str]] = []
 
 
 def _stage_folder(spark: SparkSession) -> str:
@@ -69,12 +70,17 @@ def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     spark, name = df.sparkSession, f"storkline_{uuid.uuid4().hex}"
     stage = df.write.format("parquet").option("path", stage_path(spark)).option("compression", "zstd")
     stage.bucketBy(buckets, key).saveAsTable(name)
+    _named.append((spark, name))
     return spark.table(name)
 
 
 @atexit.register
 def remove_stages() -> None:
     """Remove the stages written so far, of stopped sessions too; frames that read them are void then."""
+    while _named:
+        spark, name = _named.pop()
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _written:
         files, place = _written.pop()
         try:

@@ -33,3 +33,16 @@ def test_stages_lie_in_the_given_folder_and_go_at_the_end(spark, tmp_path, monke
     assert df.count() == 5 and list((tmp_path / "storkline").iterdir())
     session.remove_stages()
     assert not list((tmp_path / "storkline").iterdir())
+
+
+def test_bucketed_stages_need_no_shuffle_and_go_at_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_written", [])
+    monkeypatch.setattr(session, "_named", [])
+    monkeypatch.setattr(session, "_stage_folder", lambda _: str(tmp_path))
+    df = session.cut_by(spark.range(1000).selectExpr("id % 50 AS key", "id"), "key", 4)
+    counts = df.groupBy("key").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.key, r["count"]) for r in counts.collect()} == {(k, 20) for k in range(50)}
+    (name,) = [own for _, own in session._named]
+    session.remove_stages()
+    assert not spark.catalog.tableExists(name) and not list((tmp_path / "storkline").iterdir())
