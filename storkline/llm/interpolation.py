@@ -26,7 +26,7 @@ from storkline.session import cut
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 6
 #: bytes of text in a block, and about as many tokens in a bucket
-BLOCK_BYTES, BUCKET_TOKENS = 8 << 20, 1 << 19
+BLOCK_BYTES, BUCKET_TOKENS = 2 << 20, 1 << 19
 LEAST_BUCKETS = 64
 ROUNDS = 60
 #: cells of the held-out counts: four to an octave of the probabilities
@@ -107,7 +107,7 @@ def _keys(words: np.ndarray, tokens: np.ndarray) -> tuple[list[np.ndarray], list
 def _ask(bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in text.rows_of(batch):
                 keys, _, counts = _keys(unpack(row["words"], np.uint64), unpack(row["tokens"], np.uint32))
                 for level in (0, 1):
                     edges = np.searchsorted(keys[level] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -192,7 +192,7 @@ def _tuning_counts(tokens: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         found: dict[tuple, int] = {}
         replies = answers.to_pylist()
-        for block in blocks.to_pylist():
+        for block in text.rows_of(blocks):
             context, own, pair = _estimates(block, replies, "kept")
             two, one = _shares(context, own, pair, tokens)
             cells, counts = np.unique(np.stack([bucket_of(context), _cell(two), _cell(one)]), axis=1, return_counts=True)
@@ -229,7 +229,7 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 def _score(weights: np.ndarray, tokens: int, types: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out, replies = [], answers.to_pylist()
-        for block in blocks.to_pylist():
+        for block in text.rows_of(blocks):
             context, own, pair = _estimates(block, replies, "total")
             two, one = _shares(context, own, pair, tokens)
             mix = weights[bucket_of(context)]
