@@ -51,14 +51,17 @@ def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of near equal size, copies together."""
     return kd_shards.shards(_table(spark, sf_dir, "documents"), 16)
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every text by a mixed n-gram model, and by the add-one base."""
     return interpolation.score(_table(spark, sf_dir, "documents"))
 
 
 def op5_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every text: spans of the patterns and those that the tagger adds."""
     return personal_data.report(_table(spark, sf_dir, "documents"))
 
 
@@ -81,15 +84,18 @@ def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document, and whether it is the one that stays."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op9_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document by a rule ensemble."""
     scored = rule_ensemble.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op10_kneser_ney_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the fixed quality rules for every text, and the verdict of rules and perplexity bands."""
     return perplexity.rate(_table(spark, sf_dir, "documents"))
 
 
