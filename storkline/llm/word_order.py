@@ -131,7 +131,7 @@ def _ask_table(block: dict, keys: np.ndarray, values: np.ndarray, bits: int) ->
 def _ask_bigrams(bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in batch.to_pylist():
+            for block in text.rows_of(batch):
                 *_, pairs, _, counts = _bigrams(block)
                 yield _ask_table(block, pairs, counts[None], bits)
     return run
@@ -185,7 +185,7 @@ def _put(answers: list[dict], level: int, which: str, kind: type, n: int = 1) ->
 def _ask_words(bits: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         replies, out = answers.to_pylist(), []
-        for block in blocks.to_pylist():
+        for block in text.rows_of(blocks):
             words, places, before, pairs, own, counts = _bigrams(block)
             held = _put(replies, 1, "held", np.uint8)[0]
             first = np.zeros(len(pairs), np.int64)
@@ -217,7 +217,7 @@ def _ones(answers: DataFrame) -> np.ndarray:
 def _score(carried: dict[str, str], pair_cuts: list[np.ndarray], word_cuts: list[np.ndarray], word_ones: np.ndarray):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out, replies = [], answers.to_pylist()
-        for block in blocks.to_pylist():
+        for block in text.rows_of(blocks):
             _, places, before, _, own, _ = _bigrams(block)
             fold = 1 - block["fold"]
             begun, *kinds, ended = _put(replies, 0, "found", np.uint64, STATS)
