@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from checks import oracle
 from checks.fixture import PARAMS, load
 from storkline.operators import (
-    cohort, concepts, gestation, merge, metadata, outcomes, pps, prevalence, reconcile, start_dates, timing,
+    cohort, concepts, gestation, loads, merge, metadata, outcomes, pps, prevalence, reconcile, start_dates, timing,
 )
 from storkline.plans.pipeline import Pipeline
-from storkline.session import cut
+from storkline.session import cut, stage_path
 
 
 class Steps(Pipeline):
@@ -47,25 +47,13 @@ class Steps(Pipeline):
         return prevalence.person_concepts(self.tables.event)
 
     @cached_property
-    def case_events(self):
-        return prevalence.concept_ages(self.per_person, prevalence.cases(self.tables.person, self.with_code))
-
-    @cached_property
-    def case_women(self):
-        return prevalence.reproductive_age(self.case_events, self.p)
-
-    @cached_property
-    def control_events(self):
-        return prevalence.concept_ages(self.per_person, prevalence.controls(self.tables.person, self.with_code))
-
-    @cached_property
-    def prevalence(self):
-        return prevalence.case_prevalence(self.case_women)
-
-    @cached_property
-    def specificity(self):
-        frequent = prevalence.frequent(self.prevalence, self.p)
-        return prevalence.specificity(frequent, prevalence.control_prevalence(self.control_events))
+    def by_loads(self):
+        """The statistics from two loads, the records from 1996 on before the older and undated ones."""
+        event, folder = self.tables.event, stage_path(self.tables.event.sparkSession)
+        recent = F.coalesce(F.year("event_date") >= 1996, F.lit(False))
+        loads.add_load(event.filter(recent), folder, "recent")
+        loads.add_load(event.filter(~recent), folder, "late")
+        return Pipeline(self.tables, self.lists, self.p, loads.read_loads(event.sparkSession, folder))
 
     # outcomes
     @cached_property
@@ -375,7 +363,12 @@ QUERIES: dict[str, Query] = {
         lambda s: s.specificity, "specificity",
         "concept_id concept_name count proportion:f count_controls proportion_controls:f ratio:f"),
     "concept_highly_specific": Query(
-        lambda s: prevalence.highly_specific(s.specificity, s.p), "specific", "concept_id concept_name count ratio:f"),
+        lambda s: s.specific_concepts, "specific", "concept_id concept_name count ratio:f"),
+    "concept_prevalence_by_loads": Query(
+        lambda s: s.by_loads.prevalence, "prevalence", "concept_id concept_name count proportion:f"),
+    "concept_specificity_by_loads": Query(
+        lambda s: s.by_loads.specificity, "specificity",
+        "concept_id concept_name count proportion:f count_controls proportion_controls:f ratio:f"),
     # outcomes
     "hip_initial_cohort": Query(lambda s: s.cohort, "cohort", CODED),
     **{

@@ -42,6 +42,7 @@ def controls(person: DataFrame, with_code: DataFrame) -> DataFrame:
 # a day and a record id in one decimal, by day and then by id; a missing day or id comes first
 _ID_PLACES = "100000000000000000000"
 _NO_DAY, _NO_ID = -10_000_000, "-10000000000000000000"
+FIRST_KEYS = ["person_id", "concept_id", "domain", "concept_name"]
 
 
 def _day_and_id() -> Column:
@@ -51,18 +52,28 @@ def _day_and_id() -> Column:
     return (day.cast("decimal(10,0)") * F.lit(_ID_PLACES).cast("decimal(21,0)") + number).cast(wide)
 
 
-def person_concepts(event: DataFrame) -> DataFrame:
-    """The earliest record of each person and concept, over all domains; of equal days the first by
-    domain, record id and name.
+def first_records(event: DataFrame) -> DataFrame:
+    """Per person, concept, domain and name the earliest day and record: all that the statistics need of a
+    set of events. Sets put together (`merge_first_records`) give what all their events at once would.
 
     The event table is reduced by a hash aggregate, as its only buffer is a number; the strings of a
-    record are keys. The rest is settled on the few rows that a person and concept then have.
+    record are keys.
     """
-    firsts = event.groupBy("person_id", "concept_id", "domain", "concept_name").agg(F.min(_day_and_id()).alias("_first"))
+    return event.groupBy(*FIRST_KEYS).agg(F.min(_day_and_id()).alias("first_record"))
+
+
+def merge_first_records(firsts: DataFrame) -> DataFrame:
+    """One row per key out of rows of several sets. A set that comes twice changes nothing."""
+    return firsts.groupBy(*FIRST_KEYS).agg(F.min("first_record").alias("first_record"))
+
+
+def earliest(firsts: DataFrame) -> DataFrame:
+    """The earliest record of each person and concept, over all domains; of equal days the first by
+    domain, record id and name. Settled on the few rows that a person and concept then have."""
     half = F.lit(_ID_PLACES).cast("decimal(21,0)") / 2
-    day = F.floor((F.col("_first") + half) / F.lit(_ID_PLACES).cast("decimal(21,0)")).cast("int")
+    day = F.floor((F.col("first_record") + half) / F.lit(_ID_PLACES).cast("decimal(21,0)")).cast("int")
     visit_date = F.when(day > _NO_DAY, F.date_add(F.lit("1970-01-01").cast("date"), day))
-    record = F.struct(visit_date.alias("visit_date"), "domain", "_first", "concept_name")
+    record = F.struct(visit_date.alias("visit_date"), "domain", "first_record", "concept_name")
     return (
         firsts.groupBy("person_id", "concept_id")
         .agg(F.min(record).alias("r"))
@@ -70,6 +81,18 @@ def person_concepts(event: DataFrame) -> DataFrame:
     )
 
 
+def person_concepts(event: DataFrame) -> DataFrame:
+    """The earliest record of each person and concept of the events."""
+    return earliest(first_records(event))
+
+
+def coded_persons(concepts: DataFrame, codes: DataFrame) -> DataFrame:
+    """Persons with any listed concept, from the rows per person and concept: the events need no second
+    pass where drugs match on the concept as well."""
+    listed = codes.select("concept_id").distinct()
+    return concepts.join(listed, "concept_id", "left_semi").select("person_id").distinct()
+
+
 def concept_ages(concepts: DataFrame, persons: DataFrame) -> DataFrame:
     """Each person's concepts with the age in years at the record."""
     return (

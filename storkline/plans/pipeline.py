@@ -20,10 +20,17 @@ from storkline.sources.omop import Lists, Tables
 
 
 class Pipeline:
-    """Stages as properties; each is built once and computed when first needed."""
+    """Stages as properties; each is built once and computed when first needed.
 
-    def __init__(self, tables: Tables, lists: Lists, params: Params | None = None):
+    ``first_records`` may hold the first records of all loads of events (`operators.loads`); concept
+    statistics then come from them instead of the event table.
+    """
+
+    def __init__(self, tables: Tables, lists: Lists, params: Params | None = None, first_records: DataFrame | None = None):
         self.tables, self.lists, self.p = tables, lists, params or Params()
+        if first_records is not None and self.p.drug_by_record_id:
+            raise ValueError("first records of loads keep no record ids to match drugs on")
+        self._first_records = first_records
 
     # -- code lists ----------------------------------------------------------------------
 
@@ -32,19 +39,47 @@ class Pipeline:
         """The initial code list as standard concepts."""
         return concepts.standardize(self.lists.initial, self.tables.concept, self.tables.concept_relationship)
 
+    @cached_property
+    def person_concepts(self) -> DataFrame:
+        """The one pass over all events for the statistics: each person's concepts."""
+        if self._first_records is not None:
+            return cut(prevalence.earliest(self._first_records))
+        return cut(prevalence.person_concepts(self.tables.event))
+
+    @cached_property
+    def coded_persons(self) -> DataFrame:
+        """Persons with a code of the standardized list."""
+        if self.p.drug_by_record_id:
+            return cut(prevalence.persons_with_code(self.tables.event, self.standard_codes, self.p))
+        return cut(prevalence.coded_persons(self.person_concepts, self.standard_codes))
+
+    @cached_property
+    def case_events(self) -> DataFrame:
+        cases = prevalence.cases(self.tables.person, self.coded_persons)
+        return prevalence.concept_ages(self.person_concepts, cases)
+
+    @cached_property
+    def case_women(self) -> DataFrame:
+        return prevalence.reproductive_age(self.case_events, self.p)
+
+    @cached_property
+    def control_events(self) -> DataFrame:
+        controls = prevalence.controls(self.tables.person, self.coded_persons)
+        return prevalence.concept_ages(self.person_concepts, controls)
+
+    @cached_property
+    def prevalence(self) -> DataFrame:
+        return prevalence.case_prevalence(self.case_women)
+
+    @cached_property
+    def specificity(self) -> DataFrame:
+        common = prevalence.frequent(self.prevalence, self.p)
+        return prevalence.specificity(common, prevalence.control_prevalence(self.control_events))
+
     @cached_property
     def specific_concepts(self) -> DataFrame:
         """Concepts far more common in persons with a code of the standardized list than in others."""
-        p, event, person = self.p, self.tables.event, self.tables.person
-        with_code = cut(prevalence.persons_with_code(event, self.standard_codes, p))
-        per_person = cut(prevalence.person_concepts(event))
-        case_rows = prevalence.reproductive_age(
-            prevalence.concept_ages(per_person, prevalence.cases(person, with_code)), p
-        )
-        control_rows = prevalence.concept_ages(per_person, prevalence.controls(person, with_code))
-        common = prevalence.frequent(prevalence.case_prevalence(case_rows), p)
-        ratios = prevalence.specificity(common, prevalence.control_prevalence(control_rows))
-        return prevalence.highly_specific(ratios, p)
+        return prevalence.highly_specific(self.specificity, self.p)
 
     # -- episodes ------------------------------------------------------------------------
 
