@@ -129,7 +129,7 @@ class Steps(Pipeline):
 
     @cached_property
     def candidates(self):
-        return merge.outcome_candidates(self.tables.event, self.lists.outcomes, self.windows)
+        return merge.outcome_candidates(self.evidence, self.lists.outcomes, self.windows)
 
     @cached_property
     def first_dates(self):
@@ -143,7 +143,8 @@ class Steps(Pipeline):
     # start dates
     @cached_property
     def time_records(self):
-        return start_dates.timing_records(self.tables.event, self.lists.timing, self.lists.months)
+        # as in the pipeline from the one pass, which the episodes rest on as well
+        return start_dates.timing_records(self.evidence, self.lists.timing, self.lists.months)
 
     @cached_property
     def time_in(self):
@@ -454,7 +455,7 @@ QUERIES: dict[str, Query] = {
     "esd_extrapolated_start": Query(lambda s: s.time_start, "time_start", WEEKS),
     "esd_timing_concepts": Query(
         lambda s: start_dates.timing_concepts(
-            s.tables.event, s.merged_episodes, s.lists.timing, s.lists.ages, s.lists.months, s.p),
+            s.evidence, s.merged_episodes, s.lists.timing, s.lists.ages, s.lists.months, s.p),
         "timed", f"{WEEKS} min_month:f max_month:f"),
     "esd_classify": Query(lambda s: s.classified, "classified", f"{WEEKS} gt_type"),
     "esd_range_bounds": Query(lambda s: s.bounded, "bounded", RANGES),
