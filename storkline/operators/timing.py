@@ -12,22 +12,25 @@ from storkline.operators.prevalence import match_key
 CONCEPT = ["domain_concept_id", "domain_concept_name"]
 
 
-def match_concepts(event: DataFrame, specific: DataFrame, p: Params) -> DataFrame:
-    """Records of the listed concepts, equal ones counted, so that a person holds at most one
-    row per day, concept and domain when the rows meet the episodes."""
+def listed_records(event: DataFrame, specific: DataFrame, p: Params) -> DataFrame:
+    """The records of the listed concepts, with the columns that name equal ones."""
     listed = specific.select(F.col("concept_id").alias("_key")).distinct()
-    return (
-        event.withColumn("_key", match_key(p))
-        .join(listed, "_key", "left_semi")
-        .groupBy(
-            "person_id", "domain", F.col("concept_id").alias("domain_concept_id"),
-            F.col("concept_name").alias("domain_concept_name"),
-            F.col("event_date").alias("domain_concept_start_date"),
-        )
-        .agg(F.count(F.lit(1)).alias("n_records"))
+    return event.withColumn("_key", match_key(p)).join(listed, "_key", "left_semi").select(
+        "person_id", "domain", F.col("concept_id").alias("domain_concept_id"),
+        F.col("concept_name").alias("domain_concept_name"), F.col("event_date").alias("domain_concept_start_date"),
     )
 
 
+def counted(records: DataFrame) -> DataFrame:
+    """Equal rows once, with their number."""
+    return records.groupBy(*records.columns).agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def match_concepts(event: DataFrame, specific: DataFrame, p: Params) -> DataFrame:
+    """Records of the listed concepts at any time, equal ones counted."""
+    return counted(listed_records(event, specific, p))
+
+
 def in_episodes(records: DataFrame, episodes: DataFrame) -> DataFrame:
     """Records strictly between start and end of the person's episodes."""
     spans = episodes.select(
@@ -38,9 +41,13 @@ def in_episodes(records: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def episode_concepts(event: DataFrame, specific: DataFrame, episodes: DataFrame, p: Params) -> DataFrame:
-    """Records of the listed concepts inside episodes with a definite outcome."""
+    """Records of the listed concepts inside episodes with a definite outcome, equal ones counted.
+
+    Few records lie in an episode, and few of all records are equal, so they meet the episodes first: the
+    events move once at most, by person and bin of time, and counting moves only what is found.
+    """
     definite = episodes.filter(~F.col("category").isin(NO_OUTCOME, "DELIV"))
-    return in_episodes(match_concepts(event, specific, p), definite)
+    return counted(in_episodes(listed_records(event, specific, p), definite))
 
 
 def gestation_months(records: DataFrame, p: Params) -> DataFrame:
