@@ -53,7 +53,7 @@ class Steps(Pipeline):
         recent = F.coalesce(F.year("event_date") >= 1996, F.lit(False))
         loads.add_load(event.filter(recent), folder, "recent")
         loads.add_load(event.filter(~recent), folder, "late")
-        return Pipeline(self.tables, self.lists, self.p, loads.read_loads(event.sparkSession, folder))
+        return Pipeline(self.tables, self.lists, self.p, loads.loaded(event.sparkSession, folder))
 
     # outcomes
     @cached_property

@@ -31,12 +31,18 @@ def add_load(event: DataFrame, folder: str, name: str) -> None:
     first_records(event).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
 
 
-def read_loads(spark: SparkSession, folder: str) -> DataFrame:
-    """The first records of all finished loads, merged."""
+def loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """The first records of all finished loads side by side: enough for the statistics, whose earliest
+    record is the least of them merged or not."""
     loads = _finished(spark, folder)
     if not loads:
         raise ValueError(f"no finished load in {folder}")
-    return merge_first_records(spark.read.parquet(*loads))
+    return spark.read.parquet(*loads)
+
+
+def read_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """The first records of all finished loads, merged."""
+    return merge_first_records(loaded(spark, folder))
 
 
 def compact(spark: SparkSession, folder: str, into: str, name: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 
 from checks.fixture import PARAMS
 from checks.queries import QUERIES, Steps
-from storkline.operators import start_dates, timing
+from storkline.operators import loads, prevalence, start_dates, timing
 
 SF_DIR = "/root/testdata/sf0.001"
 EVENT = "person_id long, concept_id long, domain string, concept_name string, event_date date, record_id long"
@@ -70,3 +70,17 @@ def test_events_move_once_on_the_way_into_episodes(spark, no_broadcasts):
     below = text[join.start():]
     assert re.search(r"Exchange hashpartitioning\(person_id#\d+L?, _bin#", below)
     assert "count(1)" in text and "count(1)" not in below
+
+
+def test_loads_side_by_side_are_gathered_once(spark, tmp_path, no_broadcasts):
+    day = date(2001, 5, 1)
+    parts = [[(1, 7, "drug", "a", day, 2), (1, 7, "condition", "b", day, 3), (None, 7, "drug", "a", None, None)],
+             [(1, 7, "condition", "b", day, 1), (1, 7, "condition", "a", day, 3), (1, 8, "drug", None, day, 4)]]
+    folder = str(tmp_path)
+    for i, part in enumerate(parts):
+        loads.add_load(spark.createDataFrame(part, EVENT), folder, f"load-{i}")
+    side = prevalence.earliest(loads.loaded(spark, folder))
+    assert rows(side) == rows(prevalence.person_concepts(spark.createDataFrame(sum(parts, []), EVENT)))
+    assert rows(side) == rows(prevalence.earliest(loads.read_loads(spark, folder)))
+    text = plan(side)
+    assert text.count("Exchange ") == 1 and "Sort " not in text[text.index("Exchange "):]
