@@ -249,7 +249,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
         if last is not None:
             chosen = hashed.filter(F.col("hash") <= last).select("hash", "text").distinct()
             rows += [r.text for r in sorted(chosen.collect(), key=lambda r: (r.hash, r.text))]
-    return fit(rows)
+    model = fit(rows)
+    text.let_go()  # the driver learns
+    return model
 
 
 def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -53,6 +53,22 @@ def stage_path(spark: SparkSession) -> str:
     return path
 
 
+def let_go(spark: SparkSession) -> str | None:
+    """Give native memory that the driver's JVM has freed, as its compilers do, back to the system, as
+    `jcmd System.trim_native_heap` does; else it stays with a driver that plans many stages. Returns the JVM's
+    answer; one that knows no such command is left alone."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        server = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        invoke = next(m for m in server.getMethods() if m.getName() == "invoke")
+        args = array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a stage as a Parquet table to the shared checkpoint folder and go on from there.
 
@@ -61,6 +77,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = stage_path(df.sparkSession)
     df.write.parquet(path)
+    let_go(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +87,7 @@ def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     spark, name = df.sparkSession, f"storkline_{uuid.uuid4().hex}"
     stage = df.write.format("parquet").option("path", stage_path(spark)).option("compression", "zstd")
     stage.bucketBy(buckets, key).saveAsTable(name)
+    let_go(spark)
     _named.append((spark, name))
     return spark.table(name)
 

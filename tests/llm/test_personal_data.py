@@ -201,3 +201,11 @@ def test_odd_rows(spark, odd, nothing):
     assert report(nothing).count() == 0 and mask(nothing).count() == 0
     assert sorted(map(str, mask(odd).collect())) == sorted(map(str, odd.collect()))
     assert fit([]).keys() == fit(["a 1.2.3.4 b"]).keys()
+
+
+def test_learning_leaves_no_freed_memory_with_the_driver(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(personal_data, "fit", lambda texts: called.append(len(texts)) or {})
+    monkeypatch.setattr(personal_data.text, "let_go", lambda: called.append("let go"))
+    personal_data.learn(spark.createDataFrame([("call +49 30 1234567",), ("room 5",)], "text string"))
+    assert called == [2, "let go"]

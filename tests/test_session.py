@@ -46,3 +46,15 @@ def test_bucketed_stages_need_no_shuffle_and_go_at_the_end(spark, tmp_path, monk
     (name,) = [own for _, own in session._named]
     session.remove_stages()
     assert not spark.catalog.tableExists(name) and not list((tmp_path / "storkline").iterdir())
+
+
+def test_writing_a_stage_leaves_no_freed_memory_with_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_written", [])
+    monkeypatch.setattr(session, "_named", [])
+    monkeypatch.setattr(session, "_stage_folder", lambda _: str(tmp_path))
+    answers, ask = [], session.let_go
+    monkeypatch.setattr(session, "let_go", lambda s: answers.append(ask(s)))
+    assert session.cut(spark.range(5)).count() == 5
+    assert session.cut_by(spark.range(5), "id", 2).count() == 5
+    assert len(answers) == 2 and all("Trim native heap" in a for a in answers)
+    session.remove_stages()
