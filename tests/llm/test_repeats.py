@@ -130,3 +130,12 @@ def test_blocks_are_not_shuffled(spark):
     cogroup = plan[plan.index("FlatMapCoGroupsInArrow"):]
     left = cogroup[:cogroup.index("asker")]
     assert "Bucketed: true" in left and "Exchange" not in left.split("FileScan")[0]
+
+
+def test_blocks_are_read_where_they_lie(spark):
+    """As above, without the node's own line, which names the keys of both sides."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = remove_repeats(docs)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    below = plan[plan.index("FlatMapCoGroupsInArrow"):].split("\n", 1)[1]
+    left = below[:below.index("asker")]
+    assert "Bucketed: true" in left and "Exchange" not in left.split("FileScan")[0]
