@@ -180,8 +180,8 @@ def rate(docs: DataFrame, fence: float = FENCE) -> DataFrame:
         (F.crc32(F.coalesce(own, F.lit(""))) % 2).cast("int").alias("fold"),
     )
     measured = plain.mapInArrow(_rate(model), "text string, fold int, " + ", ".join(f"{c} {kind}" for c, kind in RATED.items()))
-    rated = cut(
-        word_order.score(measured, RATED, _discounts)
+    rated = (
+        word_order.score(measured, RATED, _discounts, int(found["n"].sum()))  # a byte or an end each
         .withColumn("lang", F.coalesce("lang", F.lit("")))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     )

@@ -58,3 +58,12 @@ def test_writing_a_stage_leaves_no_freed_memory_with_the_driver(spark, tmp_path,
     assert session.cut_by(spark.range(5), "id", 2).count() == 5
     assert len(answers) == 2 and all("Trim native heap" in a for a in answers)
     session.remove_stages()
+
+
+def test_shuffles_are_let_go_only_within(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(KeyError), session.shuffles_let_go(spark):
+        assert spark.conf.get(key) == "true"
+        raise KeyError
+    assert spark.conf.get(key) == before
