@@ -150,7 +150,7 @@ def window_starts(length: int) -> list[int]:
 _NEARNESS = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
-def tag(p: dict, stretches: list[np.ndarray], batch: int = 512) -> list[np.ndarray]:
+def tag(p: dict, stretches: list[np.ndarray], batch: int = 128) -> list[np.ndarray]:
     """The best tag sequence of each stretch of codes."""
     windows = [(i, a) for i, s in enumerate(stretches) for a in window_starts(len(s))]
     sums = [np.zeros((len(s), len(p["first"])), np.float32) for s in stretches]

@@ -82,6 +82,11 @@ def _slots(shingles: np.ndarray, size: int) -> np.ndarray:
     return text.mix(shingles + np.uint64(size)) >> np.uint64(64 - TABLE_BITS)
 
 
+def _held(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which of the places are set in a bit table."""
+    return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+
+
 def _item_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for size, own in zip(batch.column("n_words").to_pylist(), batch.column("shingles"), strict=True):
@@ -95,11 +100,10 @@ def _windows(known):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sizes, lightest, heaviest = known.value
         least = lightest.min() if len(sizes) else 1
-        lookup = np.unpackbits(table, bitorder="little").view(bool)
         for batch in text.chunks(batches):
             every, weights, bounds = _shingled(batch.column("text"))
             n = len(every)
-            hit = lookup[_slots(every, 0)]
+            hit = _held(table, _slots(every, 0))
             mass = np.concatenate([[0], np.cumsum(np.where(hit, weights, 0))])
             # a text needs the smallest item's share of such shingles
             ends = np.clip(bounds[1:] - WIDTH + 1, np.minimum(bounds[:-1], n), n)
@@ -111,14 +115,14 @@ def _windows(known):
                 total = np.concatenate([[0], np.cumsum(w)])
                 for size in sizes[sizes <= len(g) + WIDTH - 1]:
                     m = size - WIDTH + 1
-                    own = np.concatenate([[0], np.cumsum(np.where(lookup[_slots(g, size)], w, 0))])
+                    own = np.concatenate([[0], np.cumsum(np.where(_held(table, _slots(g, size)), w, 0))])
                     at = np.flatnonzero(100 * (own[m:] - own[:-m]) >= PERCENT * (total[m:] - total[:-m]))
                     if len(at):
                         found.append((i, size, size, at, _prints(g, w, at, at + m), g, w))
                 # a shorter text as a whole: the similarity bounds the ratio of the weights
                 whole, words = total[-1], len(g) + WIDTH - 1
                 for size in sizes[(sizes > words) & (PERCENT * lightest <= 100 * whole) & (PERCENT * whole <= 100 * heaviest)]:
-                    if 100 * w[lookup[_slots(g, size)]].sum() >= PERCENT * whole:
+                    if 100 * w[_held(table, _slots(g, size))].sum() >= PERCENT * whole:
                         at = np.zeros(1, np.int64)
                         found.append((i, words, size, at, _prints(g, w, at, at + len(g)), g, w))
             ids = batch.column("doc_id").to_pylist()

@@ -29,6 +29,8 @@ from storkline.llm import text
 MARK = "▁"
 #: words whose ids a worker remembers, from task to task; beyond that it starts anew
 REMEMBERED = 300_000
+#: pairs of pieces known to fit or not that outlive the words
+FITS = 500_000
 #: bytes of text whose new words are encoded in one walk
 BATCH_BYTES = 2 << 20
 _NORMAL, _UNKNOWN, _BYTE, _UNIGRAM, _MERGES = 1, 2, 6, 1, 2
@@ -248,6 +250,8 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
+        if len(self.pieces._fits) > FITS:
+            self.pieces._fits.clear()
         self.known = _Numbers()
         self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -279,21 +283,10 @@ class _Encoder:
         return self.flat[spread], ends[np.cumsum([0, *map(len, words)])]
 
 
-_encoders: dict[str, _Encoder] = {}
-
-
-def _encoder(pieces, digest: str) -> _Encoder:
-    """The encoder of a vocabulary in this worker, kept for the worker's next task."""
-    if digest not in _encoders:
-        _encoders.clear()
-        _encoders[digest] = _Encoder(pieces.value)
-    return _encoders[digest]
-
-
 def _encode(pieces, digest: str, names: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(pieces, digest)
-        for batch in text.chunks(batches, limit=BATCH_BYTES):
+        encoder = text.kept(digest, lambda: _Encoder(pieces.value))
+        for batch in text.chunks(batches, limit=BATCH_BYTES, keep=digest):
             ids, bounds = encoder.ids(batch.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists], [*names, "token_ids"])

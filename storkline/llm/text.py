@@ -8,13 +8,16 @@ byte values, computed for all words of a chunk from one running sum, then mixed.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+#: bytes whose words are hashed at once; the tables that a worker keeps for it take 16 times as much
+HASHED_BYTES = 256 << 10
 _STEP = 0x9E3779B97F4A7C15
 _RATIO = 0xD1342543DE82EF95
 _RATIO_INVERSE = pow(_RATIO, -1, 1 << 64)
@@ -49,6 +52,16 @@ def let_go() -> None:
         _trim(0)
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """What this worker keeps under a key for its next task; it goes with the first task that does not name the key."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def rows_of(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
     """The rows one by one, so that only one stands in memory as Python objects."""
     for i in range(batch.num_rows):
@@ -59,17 +72,20 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the ratio and of its inverse, kept for the next chunk."""
+    """Powers of the ratio and of its inverse, kept for the next words."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_RATIO, _RATIO_INVERSE)):
-            table = np.full(max(n, CHUNK_BYTES), base, np.uint64)
+            table = np.full(max(n, HASHED_BYTES), base, np.uint64)
             table[0] = 1
             _powers[i] = np.cumprod(table)
     return _powers
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut to about `limit` bytes of text each; a longer text is a chunk of its own."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about `limit` bytes of text each; a longer text is a chunk of its own. Of what
+    the worker kept from earlier tasks only that under the key `keep` stays."""
+    for key in _kept.keys() - {keep}:
+        del _kept[key]
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -116,26 +132,26 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 def _long_hash(data: np.ndarray) -> np.ndarray:
     """The hash of one stretch, summed up over parts of it."""
-    power, _ = _power_tables(CHUNK_BYTES)
+    power, _ = _power_tables(HASHED_BYTES)
     total = 0
-    for at in range(0, len(data), CHUNK_BYTES):
-        part = data[at:at + CHUNK_BYTES]
+    for at in range(0, len(data), HASHED_BYTES):
+        part = data[at:at + HASHED_BYTES]
         total += int((_BYTE_VALUES[part] * power[:len(part)]).sum(dtype=np.uint64)) * pow(_RATIO, at, 1 << 64)
     return mix(np.array([total % (1 << 64)], np.uint64))
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each stretch of bytes; equal stretches have equal hashes wherever they stand. Of
-    more than CHUNK_BYTES, ascending stretches are taken in groups that span no more than that."""
-    if len(data) <= CHUNK_BYTES or len(starts) == 0 or (starts[1:] < starts[:-1]).any():
+    more than HASHED_BYTES, ascending stretches are taken in groups that span no more than that."""
+    if len(data) <= HASHED_BYTES or len(starts) == 0 or (starts[1:] < starts[:-1]).any():
         return _hashes(data, starts, ends)
     out, i = np.zeros(len(starts), np.uint64), 0
     far = np.maximum.accumulate(ends)
     while i < len(starts):
         base = starts[i]
-        j = int(np.searchsorted(far, base + CHUNK_BYTES, "right"))
+        j = int(np.searchsorted(far, base + HASHED_BYTES, "right"))
         if j > i:
-            out[i:j] = _hashes(data[base:base + CHUNK_BYTES], starts[i:j] - base, ends[i:j] - base)
+            out[i:j] = _hashes(data[base:base + HASHED_BYTES], starts[i:j] - base, ends[i:j] - base)
         else:
             j = i + 1
             out[i:j] = _long_hash(data[base:ends[i]])

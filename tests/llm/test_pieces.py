@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -83,3 +84,29 @@ def test_query_and_odd_rows(spark, odd, nothing, vocabulary):
     assert all(r.decoded == (r.text or "") and bool(r.token_ids) == bool(r.text) for r in back)
     assert encode(encoded, vocabulary).columns == encoded.columns
     assert decode(encode(nothing, vocabulary), vocabulary).count() == 0
+
+
+def test_words_are_remembered_for_the_next_task_of_the_stage_only(monkeypatch):
+    class Shared:
+        value = read_pieces(VOCABULARY)
+
+    monkeypatch.setattr(pieces.text, "_kept", {})
+    batch = pa.record_batch({"text": ["the quick brown fox", None]})
+    run = pieces._encode(Shared, "digest", ["text"])
+    once = [b.to_pylist() for b in run([batch])]
+    known = pieces.text._kept["digest"].known
+    assert [b.to_pylist() for b in run([batch])] == once and pieces.text._kept["digest"].known is known and known
+    list(pieces.text.chunks([batch]))  # as a task of another stage does
+    assert not pieces.text._kept and [b.to_pylist() for b in run([batch])] == once
+
+
+def test_pairs_that_fit_are_forgotten_too(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 100)
+    monkeypatch.setattr(pieces, "FITS", 200)
+    pick, vocabulary, sizes = random.Random(5), read_pieces(VOCABULARY), []
+    encoder, library = pieces._Encoder(vocabulary), sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    for _ in range(20):
+        t = " ".join("".join(pick.choices("abcdefgh", k=6)) for _ in range(120))
+        assert encoder.ids([t])[0].tolist() == library.encode(t)
+        sizes.append(len(vocabulary._fits))
+    assert any(b < a for a, b in zip(sizes, sizes[1:]))

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -75,3 +76,23 @@ def test_odd_rows(spark, odd, tmp_path):
         assert out.columns[:len(docs.columns)] == docs.columns
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
+
+
+def test_workers_get_small_batches(spark):
+    """A task holds a batch twice, in the JVM and in the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(6000, numPartitions=1).selectExpr("id AS doc_id", "repeat('ab ', 700) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, "64m")
+            stage(spark, spark.createDataFrame([(1, "a 1.2.3.4 b")], "doc_id long, text string"), SF)
+            found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert len(found) >= 5 and max(found) < 3 << 20
+    finally:
+        spark.conf.set(key, before)

@@ -73,3 +73,32 @@ def test_hashes_of_long_texts_in_parts(monkeypatch):
     assert (text.hashes(data, starts, ends) == whole).all()
     assert (text.hashes(data, starts[mixed], ends[mixed]) == whole[mixed]).all()
     assert (text.hashes(data, starts[:0], ends[:0]) == whole[:0]).all()
+
+
+def test_tables_for_hashing_stay_small(monkeypatch):
+    """A worker keeps them between tasks; words have the hashes that they have in one run over all bytes."""
+    monkeypatch.setattr(text, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    column = pa.array([" ".join(f"w{i * j % 9973}" for i in range(20_000)) for j in range(1, 17)])
+    hashed, bounds = text.word_hashes(column)
+    assert bounds[-1] == 320_000 and sum(table.nbytes for table in text._powers) < 5 << 20
+    data, offsets = text.raw(column)
+    assert len(data) > 3 * text.HASHED_BYTES
+    assert (hashed == text._hashes(data, *text.split(data, offsets, text.SPACE)[:2])).all()
+
+
+def test_hashes_in_parts_of_any_size(monkeypatch):
+    pick = np.random.default_rng(2)
+    data = pick.integers(0, 256, 40_000, dtype=np.uint8)
+    starts = np.sort(pick.integers(0, 39_000, 3000))
+    ends = np.minimum(starts + pick.choice([0, 1, 7, 90, 900, 5000], 3000), len(data))
+    whole = text.hashes(data, starts, ends)
+    monkeypatch.setattr(text, "HASHED_BYTES", 1000)
+    assert (text.hashes(data, starts, ends) == whole).all()
+
+
+def test_what_a_worker_keeps_goes_with_another_stage(monkeypatch):
+    monkeypatch.setattr(text, "_kept", {})
+    batch = pa.record_batch({"text": ["a b"]})
+    first = text.kept("words", dict)
+    assert list(text.chunks([batch], keep="words")) == [batch] and text.kept("words", dict) is first
+    assert list(text.chunks([batch])) == [batch] and not text._kept
