@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from storkline.llm import text
-from storkline.session import cut
+from storkline.session import cut, small_batches
 
 MARK = "▁"
 BLOCK_BYTES = 4 << 20
-#: segments a worker remembers, from block to block; beyond that it starts anew
-REMEMBERED = 200_000
+#: segments a worker remembers, from block to block, and characters of them and of their groups; beyond that it starts anew
+REMEMBERED = 100_000
+REMEMBERED_CHARACTERS = 8_000_000
+#: segments of texts that stand in memory one by one, to be numbered
+IN_TURN = 50_000
 #: new segments encoded in one call
 AT_ONCE = 4_000
 _BYTE = 6  # the type of a piece that stands for one byte
@@ -49,6 +53,9 @@ _BLOCKS = (
 _KINDS = {
     "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "binary": pa.binary(),
 }
+#: a row of a block takes megabytes; a writer looks at their size after 100 rows at first, and a row group is held as a whole, by
+#: its reader too
+_ROW_GROUPS = {"parquet.block.row.count.limit": "2"}
 _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -149,6 +156,7 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.characters = 0
         self.words: list[str] = []  # the groups, written out
         self.fit = np.zeros(0, bool)
         self.n_a, self.n_b, self.n_groups = (np.zeros(0, np.int64) for _ in range(3))
@@ -159,6 +167,15 @@ class Aligner:
     def segments(self, t: str) -> list[str]:
         return [" " + t] if self.vocabularies.crossing else _SEGMENT.findall(" " + t)
 
+    def _parts(self, t: str) -> Iterator[list[str]]:
+        """The segments of a text, those of a long one in parts."""
+        if len(t) <= IN_TURN or self.vocabularies.crossing:
+            yield self.segments(t)
+            return
+        found = (m[0] for m in _SEGMENT.finditer(" " + t))
+        while part := list(islice(found, IN_TURN)):
+            yield part
+
     def _side(self, ids: list[int], head: int, tokens: list[bytes], sizes: np.ndarray, whole: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of segments that lie one after the other, and their bounds; None if the tokens do not give the
         bytes back or do not end where segments end."""
@@ -223,7 +240,9 @@ class Aligner:
             parts.append(f"{left}|{right}")
             i, j = i_end, j_end
         bounds = group_bounds.tolist()
-        self.words += [";".join(parts[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        words = [";".join(parts[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.words += words
+        self.characters += sum(map(len, words)) + sum(map(len, new))
         for s in new:
             self.known[s] = len(self.known)
 
@@ -236,16 +255,31 @@ class Aligner:
             self.other_flat, self.other_bounds = _grow(self.other_flat, self.other_bounds, self.others)
             self.fits, self.counts, self.exact, self.others = [], [], [], []
 
+    def _number(self, parts: list[list[str]]) -> list[np.ndarray]:
+        known = self.known
+        self.learn([s for s in dict.fromkeys(s for own in parts for s in own) if s not in known])
+        return [np.fromiter(map(known.__getitem__, own), np.int32, len(own)) for own in parts]
+
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The segments of each text by number; a text whose bytes one side does not give back has none."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
             self.forget()
-        cuts = [self.segments(t) if t else [] for t in texts]
-        known = self.known
-        self.learn([s for s in dict.fromkeys(s for own in cuts for s in own) if s not in known])
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        owners, parts, size = [], [], 0
+        for i, t in enumerate(texts):
+            for part in self._parts(t) if t else ():
+                owners.append(i)
+                parts.append(part)
+                size += len(part)
+                if size >= IN_TURN:
+                    for k, own in zip(owners, self._number(parts), strict=True):
+                        found[k].append(own)
+                    owners, parts, size = [], [], 0
+        for k, own in zip(owners, self._number(parts), strict=True):
+            found[k].append(own)
         self.settle()
-        found = [np.fromiter(map(known.__getitem__, own), np.int64, len(own)) for own in cuts]
-        return [own if self.fit[own].all() else own[:0] for own in found]
+        whole = [np.concatenate(own) if own else np.zeros(0, np.int32) for own in found]
+        return [own if self.fit[own].all() else own[:0] for own in whole]
 
 
 _aligners: dict[str, Aligner] = {}
@@ -271,7 +305,10 @@ def _block(aligner: Aligner, number: int, ids: list, texts: list[str], vector: n
     """A row for a block: its texts, its segments' links, and its pairs once each; exact groups go to `vector`."""
     found = aligner.numbers(texts)
     ends = np.cumsum([0, *map(len, found)])
-    own, places, often = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    every = np.concatenate(found)
+    often = np.bincount(every, minlength=len(aligner.fit))
+    own = np.flatnonzero(often)
+    places, often = (np.cumsum(often > 0) - 1)[every], often[own]
     exact, exact_ends = _take(aligner.exact_flat, aligner.exact_bounds, own)
     others, other_ends = _take(aligner.other_flat, aligner.other_bounds, own)
     vector += np.bincount(exact, np.repeat(often, np.diff(exact_ends)), len(vector)).astype(np.int64)
@@ -297,7 +334,7 @@ def _gather(vocabularies, digest: str):
         number = TaskContext.get().partitionId() << 32
         vector = np.zeros(len(aligner.same), np.int64)
         ids, texts, size = [], [], 0
-        for batch in text.chunks(batches):
+        for batch in text.chunks(batches, limit=BLOCK_BYTES // 8):
             ids += batch.column("doc_id").to_pylist()
             texts += [t or "" for t in batch.column("text").to_pylist()]
             size += batch.column("text").nbytes
@@ -307,11 +344,13 @@ def _gather(vocabularies, digest: str):
         if ids:
             yield _block(aligner, number, ids, texts, vector)
         yield _record(_BLOCKS, [[None] for _ in range(15)] + [[vector]])
+        text.let_go()
     return run
 
 
 def _sum_up(exact_totals, exact_best):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        _aligners.clear()  # what the worker remembers from numbering segments is not needed any more
         totals, best = exact_totals.value, exact_best.value
         out = []
         order = np.argsort(answers.column("place").to_numpy())
@@ -349,7 +388,8 @@ def align(docs: DataFrame, vocabularies: Vocabularies) -> tuple[DataFrame, DataF
     spark, width = docs.sparkSession, len(vocabularies.b_tokens)
     shared = spark.sparkContext.broadcast(vocabularies)  # vocabularies have a fixed size
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = cut(plain.mapInArrow(_gather(shared, vocabularies.digest()), _BLOCKS))
+    with small_batches(spark):
+        blocks = cut(plain.mapInArrow(_gather(shared, vocabularies.digest()), _BLOCKS), **_ROW_GROUPS)
     asked = blocks.filter("block is not null").select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "own"))
     irregular = asked.groupBy(F.col("own.pairs").alias("pair")).agg(F.sum("own.counts").alias("n"))
     same = vocabularies.same_bytes()

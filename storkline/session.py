@@ -72,25 +72,38 @@ def let_go(spark: SparkSession) -> str | None:
 
 
 @contextmanager
-def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of a query go as soon as it has ended; a stage that is written needs them no more."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go as soon as it has ended; a stage that is written needs them no more."""
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "2m") -> Iterator[None]:
+    """Within, Spark hands a Python worker no more bytes at once, unless a row alone has more; a task holds them in the JVM
+    and in the worker."""
+    with _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size):
+        yield
+
+
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write a stage as a Parquet table to the shared checkpoint folder and go on from there.
 
     Readers of the stage get column pruning, pushed filters and a known size, and a lost
-    executor costs a re-read, not a recomputation.
+    executor costs a re-read, not a recomputation. ``options`` are those of the Parquet writer.
     """
     path = stage_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     let_go(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

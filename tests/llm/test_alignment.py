@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from storkline.llm import alignment
@@ -140,3 +142,47 @@ def test_a_common_pair_is_one_entry_a_block(spark, vocabularies, aligner):
     vector = np.zeros(len(aligner.same), np.int64)
     block = alignment._block(aligner, 0, list(range(500)), ["strangeness unfathomably"] * 500, vector)
     assert len(block.column("pairs")[0]) < 30 and sum(block.column("counts")[0].as_py()) % 500 == 0 and not (vector % 500).any()
+
+
+def test_segments_are_numbered_a_part_at_a_time(vocabularies):
+    """What stands in memory one by one does not grow with the texts of a block, nor with one long text."""
+    own = Aligner(vocabularies)
+    one = " ".join(["ab", "cd", "of"] * 130_000)
+    for texts in ([one], [one[:29_999]] * 40):
+        tracemalloc.start()
+        found = own.numbers(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 15 << 20
+        assert [len(x) for x in found] == [len(t.split()) for t in texts]
+
+
+def test_parts_of_a_long_text(aligner, monkeypatch):
+    texts = [*STRANGE, "".join(STRANGE), " ".join(STRANGE * 20), "", None]
+    whole = [[aligner.words[i] for i in own] for own in aligner.numbers(texts)]
+    monkeypatch.setattr(alignment, "IN_TURN", 3)
+    assert [[aligner.words[i] for i in own] for own in aligner.numbers(texts)] == whole
+    for t in texts[:-2]:
+        assert [s for part in aligner._parts(t) for s in part] == aligner.segments(t)
+
+
+def test_memory_is_bounded_in_characters(vocabularies, monkeypatch):
+    own = Aligner(vocabularies)
+    monkeypatch.setattr(alignment, "REMEMBERED_CHARACTERS", 2000)
+    for k in range(20):
+        own.numbers([f"{chr(0x4E00 + k)}" * 300])
+    assert len(own.known) < 5
+
+
+def test_blocks_are_written_in_small_row_groups(spark, vocabularies, monkeypatch):
+    """Row groups are held as a whole by writers and readers, so they are a few blocks at most, however many a task makes."""
+    stages, write = [], alignment.cut
+    monkeypatch.setattr(alignment, "cut", lambda df, **options: stages.append(write(df, **options)) or stages[-1])
+    docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat('ab cd of ', 30000) AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    assert align(docs, vocabularies)[0].count() == 60
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    (file,) = (f for f in stages[0].inputFiles() if f.endswith(".parquet"))
+    meta = pq.ParquetFile(file.removeprefix("file:")).metadata
+    rows = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert sum(rows) > 4 and max(rows) <= 2
