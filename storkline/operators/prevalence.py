@@ -71,13 +71,14 @@ def earliest(firsts: DataFrame) -> DataFrame:
     """The earliest record of each person and concept, over all domains; of equal days the first by
     domain, record id and name. Settled on the few rows that a person and concept then have, gathered
     as they are: the strings of the least row would need a sort on both sides of the shuffle, and hardly
-    any row goes before it. Rows of several sets need not be merged before."""
+    any row goes before it. Rows of several sets need not be merged before. Gathered by person alone, as all
+    later joins are; concepts and their names, not events, bound the rows that a person has here."""
     half = F.lit(_ID_PLACES).cast("decimal(21,0)") / 2
     day = F.floor((F.col("first_record") + half) / F.lit(_ID_PLACES).cast("decimal(21,0)")).cast("int")
     visit_date = F.when(day > _NO_DAY, F.date_add(F.lit("1970-01-01").cast("date"), day))
     record = F.struct(visit_date.alias("visit_date"), "domain", "first_record", "concept_name")
     return (
-        firsts.repartition("person_id", "concept_id")
+        firsts.repartition("person_id")
         .groupBy("person_id", "concept_id")
         .agg(F.min(record).alias("r"))
         .select("person_id", "concept_id", "r.concept_name", "r.visit_date", "r.domain")

@@ -15,7 +15,7 @@ from storkline.config import Params
 from storkline.operators import (
     cohort, concepts, gestation, merge, metadata, outcomes, pps, prevalence, reconcile, start_dates, timing,
 )
-from storkline.session import cut
+from storkline.session import cut, cut_by, small_tasks
 from storkline.sources.omop import Lists, Tables
 
 
@@ -41,17 +41,23 @@ class Pipeline:
 
     @cached_property
     def person_concepts(self) -> DataFrame:
-        """The one pass over all events for the statistics: each person's concepts."""
+        """The one pass over all events for the statistics: each person's concepts, bucketed by person, as cases and
+        controls are both joined by person."""
         if self._first_records is not None:
-            return cut(prevalence.earliest(self._first_records))
-        return cut(prevalence.person_concepts(self.tables.event))
+            found = prevalence.earliest(self._first_records)
+        else:
+            found = prevalence.person_concepts(self.tables.event)
+        spark = found.sparkSession
+        with small_tasks(spark):
+            return cut_by(found, "person_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     @cached_property
     def coded_persons(self) -> DataFrame:
         """Persons with a code of the standardized list."""
         if self.p.drug_by_record_id:
             return cut(prevalence.persons_with_code(self.tables.event, self.standard_codes, self.p))
-        return cut(prevalence.coded_persons(self.person_concepts, self.standard_codes))
+        # written, the list has a known size, by which Spark may broadcast it
+        return cut(prevalence.coded_persons(self.person_concepts, cut(self.standard_codes)))
 
     @cached_property
     def case_events(self) -> DataFrame:

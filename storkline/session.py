@@ -96,14 +96,26 @@ def small_batches(spark: SparkSession, size: str = "2m") -> Iterator[None]:
         yield
 
 
+@contextmanager
+def small_tasks(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
+    """Within, adaptive execution puts partitions of a shuffle together up to this size only, so that tasks that hold their
+    rows in a hash table as well as sorted need not spill."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    with _set(spark, key, str(min(now, size))):
+        yield
+
+
 def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write a stage as a Parquet table to the shared checkpoint folder and go on from there.
 
     Readers of the stage get column pruning, pushed filters and a known size, and a lost
-    executor costs a re-read, not a recomputation. ``options`` are those of the Parquet writer.
+    executor costs a re-read, not a recomputation. The shuffle files go at once, not when the driver
+    happens to collect its garbage. ``options`` are those of the Parquet writer.
     """
     path = stage_path(df.sparkSession)
-    df.write.options(**options).parquet(path)
+    with shuffles_let_go(df.sparkSession):
+        df.write.options(**options).parquet(path)
     let_go(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -113,7 +125,8 @@ def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     the stage where it lies, without a shuffle. Compressed by zstd, as such a stage is read often."""
     spark, name = df.sparkSession, f"storkline_{uuid.uuid4().hex}"
     stage = df.write.format("parquet").option("path", stage_path(spark)).option("compression", "zstd")
-    stage.bucketBy(buckets, key).saveAsTable(name)
+    with shuffles_let_go(spark):
+        stage.bucketBy(buckets, key).saveAsTable(name)
     let_go(spark)
     _named.append((spark, name))
     return spark.table(name)

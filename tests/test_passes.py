@@ -84,3 +84,22 @@ def test_loads_side_by_side_are_gathered_once(spark, tmp_path, no_broadcasts):
     assert rows(side) == rows(prevalence.earliest(loads.read_loads(spark, folder)))
     text = plan(side)
     assert text.count("Exchange ") == 1 and "Sort " not in text[text.index("Exchange "):]
+
+
+def test_persons_concepts_move_once_for_cases_and_controls(spark, no_broadcasts):
+    """They lie by person; joining them with cases and with controls moves the persons only."""
+    run = Steps(spark, SF_DIR)
+    for df in (run.case_events, run.control_events):
+        text = plan(df)
+        (scan,) = [line for line in text.splitlines() if "FileScan" in line and "visit_date" in line]
+        assert "Bucketed: true" in scan
+        above = text[:text.index(scan)].splitlines()
+        depth = scan.index("FileScan")
+        while above and depth:
+            line = above.pop()
+            own = len(line) - len(line.lstrip(" :+-"))
+            if own < depth:
+                assert "Exchange" not in line
+                depth = own
+    assert {(r.person_id, r.concept_id) for r in run.person_concepts.collect()} == {
+        (r.person_id, r.concept_id) for r in run.tables.event.select("person_id", "concept_id").distinct().collect()}

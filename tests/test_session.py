@@ -1,5 +1,7 @@
 """Where stages are written."""
 
+import time
+
 import pytest
 
 from storkline import session
@@ -67,3 +69,41 @@ def test_shuffles_are_let_go_only_within(spark):
         assert spark.conf.get(key) == "true"
         raise KeyError
     assert spark.conf.get(key) == before
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """Else they stay until the driver happens to collect its garbage."""
+    monkeypatch.setattr(session, "_written", [])
+    monkeypatch.setattr(session, "_named", [])
+    monkeypatch.setattr(session, "_stage_folder", lambda _: str(tmp_path))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {str(f) for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    df = spark.range(20_000).selectExpr("id % 1000 AS key").groupBy("key").count()
+    for write in (session.cut, lambda own: session.cut_by(own, "key", 2)):
+        before = shuffles()
+        stage = write(df)
+        for _ in range(50):
+            if shuffles() <= before:
+                break
+            time.sleep(0.1)
+        assert shuffles() <= before
+        assert stage.count() == 1000
+    session.remove_stages()
+
+
+def test_small_tasks_never_raise_the_size(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    with session.small_tasks(spark):
+        assert int(spark.conf.get(key)) == 16 << 20
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "3m")
+    try:
+        with session.small_tasks(spark):
+            assert int(spark.conf.get(key)) == 3 << 20
+        assert spark.conf.get(key) == "3m"
+    finally:
+        spark.conf.set(key, before)
